@@ -14,9 +14,6 @@ WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 # engine tries it once per line and not once per character.
 _TRIPLE_LINE = "(?<![^\\n])[^\\n]*(?:\"\"\"|''')[^\\n]*"
 
-# Longest text whose match mask fits in one signed 64-bit value.
-_MASK_BITS = 62
-
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WHITESPACE}]+|(?<![{WHITESPACE}])[{WHITESPACE}]+\z", "")
@@ -58,10 +55,6 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row.
 
@@ -70,63 +63,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _lcs_masked(a: Column, b: Column) -> Column:
-    """Bit-parallel LCS length (Hyyro 2004) for ``a`` of at most 62 characters."""
-    zero = F.lit(0).cast("long")
-
-    def length(bound: Column) -> Column:
-        chars, full = bound["chars"], bound["full"]
-
-        def mask(c: Column) -> Column:
-            bits = F.transform(chars, lambda x, i: F.when(x == c, _bit(i)).otherwise(zero))
-            return F.aggregate(bits, zero, lambda acc, bit: acc.bitwiseOR(bit))
-
-        def step(v: Column, c: Column) -> Column:
-            return let(
-                F.struct(v.alias("v"), v.bitwiseAND(mask(c)).alias("hit")),
-                lambda s: (s["v"] + s["hit"]).bitwiseOR(s["v"] - s["hit"]).bitwiseAND(full),
-            )
-
-        return F.bit_count(F.aggregate(characters(b), full, step))
-
-    bound = F.struct(characters(a).alias("chars"), (_bit(F.length(a)) - 1).alias("full"))
-    return F.length(a) - let(bound, length)
-
-
-def _lcs_table(a: Column, b: Column) -> Column:
-    """Row-by-row LCS length; a row is the running maximum of its raw scores."""
-
-    def length(chars: Column) -> Column:
-        def step(row: Column, c: Column) -> Column:
-            def score(x: Column, i: Column) -> Column:
-                diagonal = F.when(i == 0, F.lit(0)).otherwise(F.get(row, i - 1))
-                return F.when(x == c, diagonal + 1).otherwise(F.get(row, i))
-
-            return let(
-                F.transform(chars, score),
-                lambda raw: F.transform(raw, lambda _, i: F.array_max(F.slice(raw, F.lit(1), i + 1))),
-            )
-
-        return F.array_max(F.aggregate(characters(b), F.transform(chars, lambda _: F.lit(0)), step))
-
-    return F.coalesce(let(characters(a), length), F.lit(0))
-
-
-def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short texts such as names."""
-    return (
-        F.when(F.length(a) <= _MASK_BITS, _lcs_masked(a, b))
-        .when(F.length(b) <= _MASK_BITS, _lcs_masked(b, a))
-        .otherwise(_lcs_table(a, b))
-    )
-
-
-def similarity_ratio(a: Column, b: Column) -> Column:
-    """Insert/delete similarity ``2*LCS/(len a + len b)``; two empty texts give 1."""
-    total = F.length(a) + F.length(b)
-    return F.when(a == b, F.lit(1.0)).when(total > 0, common_subsequence_length(a, b) * 2.0 / total)
-
-
 def shared_method_ratio(old: Column, new: Column, tie_self: bool = False) -> Column:
     """Share of the shorter name list that the longer one also has.
 

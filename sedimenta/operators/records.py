@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.ids import call_id, file_id, method_id
-from sedimenta.operators.calls import align_calls
+from sedimenta.operators.calls import align_nested_calls
 from sedimenta.operators.files import PAIR
 from sedimenta.operators.methods import align_methods
 from sedimenta.operators.scoring import statistics
 from sedimenta.operators.units import render_imports, with_units
 from sedimenta.schemas import CALL_CHANGE, CHANGES, METHOD_CHANGE, STATISTICS
+from sedimenta.session import stage
 
 CONTENTS = ["old_sha", "new_sha"]
 _LAST = 2**31 - 1
@@ -126,6 +127,8 @@ def method_diff(contents: DataFrame, units: DataFrame, signature_change_exclusiv
             F.collect_list(F.struct(position.alias("position"), "status", "match", "old_ord", "new_ord"))
         ).alias("aligned")
     )
+    # Light, and read by both the method and the call side of the records.
+    per_pair = stage(per_pair, "aligned")
     texts = per_pair.join(units.select(F.col("content_sha").alias("old_sha"), F.col("methods").alias("olds")), "old_sha")
     texts = texts.join(units.select(F.col("content_sha").alias("new_sha"), F.col("methods").alias("news")), "new_sha")
     rows = F.transform(
@@ -148,9 +151,7 @@ def call_diff(methods: DataFrame, on: list[str]) -> DataFrame:
     ``methods`` holds ``on`` and the structs ``old`` and ``new``.
     """
     changed = methods.where("old.content != new.content")
-    old = changed.select(*on, F.inline("old.calls"))
-    new = changed.select(*on, F.inline("new.calls"))
-    aligned = align_calls(old, new, on)
+    aligned = align_nested_calls(changed, on)
     return aligned.withColumn("statistics", statistics(F.col("old.expression"), F.col("new.expression")))
 
 

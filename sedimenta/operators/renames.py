@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.names import basename
-from sedimenta.functions.text import characters, shared_method_ratio, similarity_ratio
+from sedimenta.functions.text import characters, let, shared_method_ratio
 from sedimenta.operators.files import PAIR
 from sedimenta.operators.ranking import rank_within
+from sedimenta.operators.scoring import similarity_ratio
 from sedimenta.session import stage
 
 # Both ratios must be exceeded.
@@ -31,7 +32,7 @@ COMMON_METHODS = 0.50
 GROUP_ROWS = 100_000
 
 # Characters of file names from rare to frequent; only speed depends on it.
-_RARE_FIRST = "qzjxkwvyhfgbmupdclnrosiaet_.p"
+_RARE_FIRST = "qzjxkwvhfgbmudclnrosiaet_py."
 
 # Characters two similar names must share within their rarest ones. Two is always
 # safe: unequal names shorter than that are never similar enough.
@@ -53,65 +54,80 @@ def _tokens(chars: Column) -> Column:
     return F.transform(F.array_sort(F.transform(chars, token)), lambda s: s["token"])
 
 
-def _with_marks(names: DataFrame, column: str, side: str) -> DataFrame:
-    """One row per pair of rare characters of a name: the blocking keys.
+def _marks(name: Column) -> Column:
+    """Pairs of rare characters of a name, with the place of the second: blocking keys.
 
-    Let the shorter of two similar names have length s, the longer one l, and t be
-    the number of characters they must have in common. With characters in one
-    global order, the first ``s - t + 2`` of one and the first ``l - t + 2`` of the
-    other share two. The shorter name needs fewest in common with one of its own
-    length, the longer name with the shortest one it can match, which bounds both.
+    Let two similar names have lengths a and b and t be the number of characters
+    they must have in common. With characters in one global order, the first
+    ``a - t + 2`` of one and the first ``b - t + 2`` of the other share two. Here b
+    is not known yet, so t is taken for the shortest name that could be similar;
+    with the place the join applies the real t.
     """
-    length = F.length(column)
-    bare = names.select(*PAIR, column, length.alias("size"), characters(F.col(column)).alias("chars"))
-    shortest = F.ceil(F.col("size") * (NAME_SIMILARITY / (2 - NAME_SIMILARITY))).cast("int")
-    as_short = F.col("size") - _least_common(F.col("size"), F.col("size")) + _SHARED
-    as_long = F.col("size") - _least_common(shortest, F.col("size")) + _SHARED
-    ready = bare.select(
-        *PAIR, column, "size", as_short.alias("as_short"),
-        F.slice(_tokens(F.col("chars")), F.lit(1), as_long).alias("rare"),
-    )
-    first = ready.select(*PAIR, column, "size", "as_short", "rare", F.posexplode("rare").alias("i", "x"))
-    second = first.select(
-        *PAIR, column, "size", "as_short", "i", "x",
-        F.posexplode(F.slice("rare", F.col("i") + 2, F.size("rare"))).alias("j", "y"),
-    )
-    return second.select(
-        *PAIR, column, F.col("size").alias(f"{side}_size"), F.concat_ws(" ", "x", "y").alias("mark"),
-        (F.col("i") + F.col("j") + 2 <= F.col("as_short")).alias(f"{side}_short"),
-    )
+    size = F.length(name)
+    shortest = F.ceil(size * (NAME_SIMILARITY / (2 - NAME_SIMILARITY))).cast("int")
+    kept = size - _least_common(shortest, size) + _SHARED
+
+    def pairs(rare: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                rare,
+                lambda x, i: F.transform(
+                    F.slice(rare, i + 2, F.size(rare)),
+                    lambda y, j: F.struct((i + j + 2).alias("place"), F.concat_ws(" ", x, y).alias("mark")),
+                ),
+            )
+        )
+
+    return let(F.slice(let(characters(name), _tokens), F.lit(1), kept), pairs)
 
 
 def similar_names(old_names: DataFrame, new_names: DataFrame) -> DataFrame:
     """Pairs (old_name, new_name) within a release pair whose similarity is high enough.
 
-    Inputs are distinct (PAIR, old_name) and (PAIR, new_name).
+    Inputs are distinct (PAIR, old_name) and (PAIR, new_name). Keys are computed
+    and similarities are taken once per distinct name, or pair of names, whatever
+    number of releases they occur in.
     """
     same = old_names.join(
         new_names.withColumn("old_name", F.col("new_name")), [*PAIR, "old_name"]
     ).select(*PAIR, "old_name", "new_name")
-    old_size, new_size = F.col("old_size"), F.col("new_size")
+
+    distinct = old_names.select(F.col("old_name").alias("name")).union(new_names.select("new_name")).distinct()
+    marks = stage(distinct.withColumn("marks", _marks(F.col("name"))), "marks")
+
+    def marked(names: DataFrame, side: str) -> DataFrame:
+        found = names.join(marks.withColumnRenamed("name", f"{side}_name"), f"{side}_name")
+        return found.select(*PAIR, f"{side}_name", F.inline("marks").alias(f"{side}_place", "mark"))
+
+    old_size, new_size = F.length("old_name"), F.length("new_name")
+    least = _least_common(old_size, new_size)
     fits = (
-        ((old_size <= new_size) & F.col("old_short")) | ((new_size < old_size) & F.col("new_short"))
-    ) & (_least_common(old_size, new_size) <= F.least(old_size, new_size))
+        (least <= F.least(old_size, new_size))
+        & (F.col("old_place") <= old_size - least + _SHARED)
+        & (F.col("new_place") <= new_size - least + _SHARED)
+        & (F.col("old_name") != F.col("new_name"))
+    )
     candidates = (
-        _with_marks(old_names, "old_name", "old")
-        .join(_with_marks(new_names, "new_name", "new"), [*PAIR, "mark"])
-        .where(fits & (F.col("old_name") != F.col("new_name")))
-        .select(*PAIR, "old_name", "new_name")
-        .distinct()
+        marked(old_names, "old").join(marked(new_names, "new"), [*PAIR, "mark"])
+        .where(fits).select(*PAIR, "old_name", "new_name").distinct()
+    )
+    candidates = stage(candidates, "candidates")
+    near = candidates.select("old_name", "new_name").distinct().where(
+        similarity_ratio(F.col("old_name"), F.col("new_name")) > NAME_SIMILARITY
     )
-    near = candidates.where(similarity_ratio(F.col("old_name"), F.col("new_name")) > NAME_SIMILARITY)
-    return same.unionByName(near)
+    return same.unionByName(candidates.join(near, ["old_name", "new_name"]).select(*same.columns))
 
 
 def _classes(files: DataFrame, side: str, single: bool) -> DataFrame:
     """Files with their class; ``single`` makes every file its own class."""
-    label = F.concat_ws(
-        "/", basename(F.col("path")), F.sha2(F.array_join(F.array_sort("names"), "\n"), 256)
-    )
-    return files.withColumns(
-        {f"{side}_class": F.col("path") if single else label, f"{side}_name": basename(F.col("path"))}
+    sorted_names = F.array_sort("names")
+    name = basename(F.col("path"))
+    label = F.concat_ws("/", name, F.sha2(F.array_join(sorted_names, "\n"), 256))
+    claimed = ["claimed"] if "claimed" in files.columns else []
+    return files.select(
+        *PAIR, "path", (F.col("path") if single else label).alias(f"{side}_class"),
+        name.alias(f"{side}_name"), sorted_names.alias(f"{side}_methods"),
+        F.size("names").alias(f"n_{side}"), *claimed,
     )
 
 
@@ -122,68 +138,53 @@ def acceptable_classes(old: DataFrame, new: DataFrame, tie_self: bool = False) -
     the shorter list must be shared; so one of the shorter list's names outside a
     just too small rest is shared, and joining on those names finds every pair.
     """
-    def distinct_classes(files: DataFrame, side: str) -> DataFrame:
-        rest = ["claimed"] if "claimed" in files.columns else []
-        return files.select(
-            *PAIR, f"{side}_class", f"{side}_name", F.array_sort("names").alias(f"{side}_methods"), *rest
-        ).distinct()
-
-    old_classes, new_classes = distinct_classes(old, "old"), distinct_classes(new, "new")
-    names = similar_names(
-        old_classes.select(*PAIR, "old_name").distinct(), new_classes.select(*PAIR, "new_name").distinct()
+    names = stage(
+        similar_names(old.select(*PAIR, "old_name").distinct(), new.select(*PAIR, "new_name").distinct()), "names"
     )
-    names = stage(names, "names")
-
     block = [*PAIR, "old_name", "new_name"]
-    olds = names.join(old_classes, [*PAIR, "old_name"]).withColumn("n_old", F.size("old_methods"))
-    news = names.join(new_classes, [*PAIR, "new_name"]).withColumn("n_new", F.size("new_methods"))
+    olds = stage(names.join(old.drop("path").distinct(), [*PAIR, "old_name"]), "old-classes")
+    news = stage(names.join(new.drop("path").distinct(), [*PAIR, "new_name"]), "new-classes")
     columns = [*PAIR, "old_class", "new_class"]
 
     def by_name(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, block).select(*columns)
+        return left.join(right, block)
 
     no_old = by_name(olds.where("n_old = 0"), news)
     no_new = by_name(olds.where("n_old > 0"), news.where("n_new = 0"))
 
-    def marked(rows: DataFrame, methods: str, n: str, side: str) -> DataFrame:
+    def marked(rows: DataFrame, side: str) -> DataFrame:
         # Long names are the rarer ones.
-        own = F.array_distinct(methods)
-        ordered = F.transform(
-            F.array_sort(F.transform(own, lambda m: F.struct((-F.length(m)).alias("l"), m.alias("m")))),
-            lambda s: s["m"],
-        )
-        needed = F.size(own) - (F.floor(F.col(n) * COMMON_METHODS) + 1) + 1
-        return rows.select(
-            *block, f"{side}_class", n, needed.alias(f"{side}_probe"), F.posexplode(ordered).alias(f"{side}_pos", "method")
+        own = F.array_distinct(f"{side}_methods")
+        ordered = F.array_sort(F.transform(own, lambda m: F.struct((-F.length(m)).alias("l"), m.alias("method"))))
+        probes = F.size(own) - F.floor(F.col(f"n_{side}") * COMMON_METHODS)
+        return rows.where(F.col(f"n_{side}") > 0).select(
+            *block, f"{side}_class", f"n_{side}", probes.alias(f"{side}_probes"),
+            F.posexplode(F.transform(ordered, lambda m: m["method"])).alias(f"{side}_place", "method"),
         )
 
-    probes = marked(olds.where("n_old > 0"), "old_methods", "n_old", "old").join(
-        marked(news.where("n_new > 0"), "new_methods", "n_new", "new"), [*block, "method"]
-    )
-    old_shorter = (F.col("n_old") <= F.col("n_new")) & (F.col("old_pos") < F.col("old_probe"))
-    new_shorter = (F.col("n_new") < F.col("n_old")) & (F.col("new_pos") < F.col("new_probe"))
-    shared = probes.where(old_shorter | new_shorter).select(*columns).distinct()
+    old_shorter = (F.col("n_old") <= F.col("n_new")) & (F.col("old_place") < F.col("old_probes"))
+    new_shorter = (F.col("n_new") < F.col("n_old")) & (F.col("new_place") < F.col("new_probes"))
+    shared = marked(olds, "old").join(marked(news, "new"), [*block, "method"])
+    shared = shared.where(old_shorter | new_shorter).select(*block, "old_class", "new_class").distinct()
     shared = (
-        shared.join(old_classes.select(*PAIR, "old_class", "old_methods"), [*PAIR, "old_class"])
-        .join(new_classes.select(*PAIR, "new_class", "new_methods"), [*PAIR, "new_class"])
+        shared.join(olds.select(*block, "old_class", "old_methods"), [*block, "old_class"])
+        .join(news.drop("n_new"), [*block, "new_class"])
         .where(shared_method_ratio(F.col("old_methods"), F.col("new_methods")) > COMMON_METHODS)
     )
     if tie_self:
         shared = shared.where(F.size("old_methods") != F.size("new_methods"))
-    edges = no_old.unionByName(no_new).unionByName(shared.select(*columns))
+    edges = [no_old, no_new, shared]
     if tie_self:
-        own = olds.where(
-            (F.col("n_old") > 0) & (F.size(F.array_distinct("old_methods")) / F.col("n_old") > COMMON_METHODS)
-        )
-        ties = own.join(news.withColumn("n_old", F.col("n_new")), [*block, "n_old"])
-        edges = edges.unionByName(ties.select(*columns))
+        own = olds.where("n_old > 0").where(F.size(F.array_distinct("old_methods")) / F.col("n_old") > COMMON_METHODS)
+        edges.append(own.join(news.withColumn("n_old", F.col("n_new")), [*block, "n_old"]))
     if "claimed" in new.columns:
         # Single files: a new file whose own partner comes later is still open.
-        claims = new_classes.select(*PAIR, "new_class", "claimed")
-        edges = edges.join(claims, [*PAIR, "new_class"]).where(
-            ~F.col("claimed") | (F.col("new_class") > F.col("old_class"))
-        ).select(*columns)
-    return edges
+        still_open = ~F.col("claimed") | (F.col("new_class") > F.col("old_class"))
+        edges = [e.where(still_open) for e in edges]
+    found = edges[0].select(*columns)
+    for more in edges[1:]:
+        found = found.unionByName(more.select(*columns))
+    return found
 
 
 _EVENT = "repository_name string, prev_branch string, branch string, prev_path string, path string"
@@ -269,8 +270,8 @@ def _prune(edges: DataFrame, olds: DataFrame, news: DataFrame) -> tuple[DataFram
 def assign(edges: DataFrame, olds: DataFrame, news: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One-to-one assignment (PAIR, prev_path, path), whatever the size of a pair."""
     results = None
-    edges, olds, news = _prune(edges, olds, news)
     while True:
+        edges, olds, news = _prune(edges, olds, news)
         sizes = (
             edges.select(*PAIR).unionByName(olds.select(*PAIR)).unionByName(news.select(*PAIR))
             .groupBy(*PAIR).agg(F.count("*").alias("n"))
@@ -288,11 +289,8 @@ def assign(edges: DataFrame, olds: DataFrame, news: DataFrame, group_rows: int =
         settled, matched = _round(edges, olds, news)
         for part in (small, matched):
             results = part if results is None else results.unionByName(part)
-        edges, olds, news = _prune(
-            edges,
-            olds.join(settled, [*PAIR, "path"], "left_anti"),
-            news.join(matched, [*PAIR, "path"], "left_anti"),
-        )
+        olds = olds.join(settled, [*PAIR, "path"], "left_anti")
+        news = news.join(matched, [*PAIR, "path"], "left_anti")
 
 
 def match_renamed(
@@ -319,9 +317,8 @@ def match_renamed(
         )
     olds = stage(_classes(old, "old", not exact_first), "leftover")
     news = stage(_classes(new, "new", not exact_first), "leftover")
-    edges = stage(acceptable_classes(olds, news, tie_self), "edges")
     return assign(
-        edges,
+        acceptable_classes(olds, news, tie_self),
         olds.select(*PAIR, "path", "old_class"),
         news.select(*PAIR, "path", "new_class"),
         group_rows,

@@ -94,3 +94,8 @@ def statistics(old: Column, new: Column) -> Column:
     return F.when(changed, scored).when(
         old == new, F.struct(F.lit(1.0).alias("ratio"), F.lit(0).cast("int").alias("dist"))
     )
+
+
+def similarity_ratio(old: Column, new: Column) -> Column:
+    """Insert/delete similarity ``2*LCS/(len + len)``; two empty texts give 1."""
+    return statistics(old, new)["ratio"]

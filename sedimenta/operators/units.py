@@ -7,7 +7,8 @@ it, by one Arrow stage that returns a nested row; all else explodes that row.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,14 +27,33 @@ def content_sha(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _calls(text: str, byte_offsets: bool) -> list[dict]:
-    """Calls to ``name(...)`` or ``context.name(...)`` in a text, by position."""
+def _expressions(text: str) -> Iterator[tuple[ast.AST, bool]]:
+    """All nodes of a text, each with whether it lies inside a formatted string."""
+    pending = [(ast.parse(text), False)]
+    while pending:
+        node, formatted = pending.pop()
+        yield node, formatted
+        formatted = formatted or isinstance(node, ast.JoinedStr)
+        pending.extend((child, formatted) for child in ast.iter_child_nodes(node))
+
+
+def find_calls(text: str, byte_offsets: bool = False) -> list[dict]:
+    """Calls to ``name(...)`` or ``context.name(...)`` in a method's text, by position.
+
+    The text is rendered already, so a call's own rendering is a slice of it, but
+    for calls inside formatted strings, where quotes depend on the surroundings.
+    """
     lines = text.split("\n")
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line) + 1)
+
+    def place(lineno: int, column: int) -> int:
+        line = lines[lineno - 1]
+        return starts[lineno - 1] + (column if line.isascii() else len(line.encode()[:column].decode()))
+
     found = set()
-    for node in ast.walk(ast.parse(text)):
+    for node, formatted in _expressions(text):
         match node:
             case ast.Call(func=ast.Name(id=name)):
                 context = None
@@ -41,12 +61,14 @@ def _calls(text: str, byte_offsets: bool) -> list[dict]:
                 pass
             case _:
                 continue
-        row, column = node.lineno - 1, node.col_offset
-        if not byte_offsets and not lines[row].isascii():
-            column = len(lines[row].encode()[:column].decode())
-        expression = ast.unparse(node)
-        start = starts[row] + column
-        found.add((start, start + len(expression), expression, name, context, row))
+        start = place(node.lineno, node.col_offset)
+        if formatted:
+            expression = ast.unparse(node)
+        else:
+            expression = text[start:place(node.end_lineno, node.end_col_offset)]
+        if byte_offsets:
+            start = starts[node.lineno - 1] + node.col_offset
+        found.add((start, start + len(expression), expression, name, context, node.lineno - 1))
     fields = ("start_offset", "end_offset", "expression", "name", "context", "lineno")
     ordered = sorted(found, key=lambda c: c[:3])
     return [{"call_ord": i, **dict(zip(fields, call))} for i, call in enumerate(ordered)]
@@ -71,7 +93,7 @@ def _imports(tree: ast.Module) -> list[dict]:
     ]
 
 
-def parse_units(content: str | None, byte_offsets: bool = False) -> dict:
+def parse_units(content: str | None, calls_of: Callable[[str], list[dict]] = find_calls) -> dict:
     """Units of one file. A file that cannot be parsed keeps what came before the fault."""
     unit = {"parse_ok": True, "parse_error": None, "methods": [], "imports": []}
     if not content:
@@ -82,7 +104,7 @@ def parse_units(content: str | None, byte_offsets: bool = False) -> dict:
         for cls, node in _functions(tree):
             text = ast.unparse(node)
             params = [a.arg for a in node.args.args]
-            calls = _calls(text, byte_offsets)
+            calls = calls_of(text)
             identity = (cls, node.name, tuple(params))
             unit["methods"].append(
                 {
@@ -104,10 +126,12 @@ def _parse_batches(byte_offsets: bool):
         import warnings
 
         warnings.simplefilter("ignore")  # source under study may hold odd escapes
+        # Versions of a file share most of their methods: keep recent answers.
+        calls_of = lru_cache(maxsize=20_000)(partial(find_calls, byte_offsets=byte_offsets))
         pending, size = [], 0
         for batch in batches:
             for sha, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                pending.append({"content_sha": sha, **parse_units(content, byte_offsets)})
+                pending.append({"content_sha": sha, **parse_units(content, calls_of)})
                 size += len(content or "")
                 if size >= _FLUSH_CHARS:
                     yield pa.RecordBatch.from_pylist(pending, schema=schema)

@@ -14,7 +14,7 @@ from sedimenta.operators import calls as call_ops
 from sedimenta.operators import catalog as catalog_ops
 from sedimenta.operators import files as file_ops
 from sedimenta.operators import methods as method_ops
-from sedimenta.operators import records, stats, units
+from sedimenta.operators import records, scoring, stats, units
 from sedimenta.operators.files import PAIR
 from sedimenta.operators.renames import match_renamed
 from sedimenta.operators.scoring import statistics
@@ -238,7 +238,7 @@ def edit_distance(spark, sf):
 @register
 def similarity_ratio(spark, sf):
     return h.name_pairs(spark, sf).select(
-        "p_partkey", text.similarity_ratio(F.col("a"), F.col("b")).alias("ratio")
+        "p_partkey", scoring.similarity_ratio(F.col("a"), F.col("b")).alias("ratio")
     )
 
 
@@ -263,9 +263,14 @@ def shared_method_ratio(spark, sf):
 # -- code units --------------------------------------------------------------
 
 
+def landed_sources(spark, sf, broken: bool = False) -> DataFrame:
+    """The source table at rest: hashing and parsing read it separately."""
+    return stage(h.history_sources(spark, sf, broken), "sources")
+
+
 def _located(spark, sf, extracted: Callable[[DataFrame], DataFrame], broken: bool = False) -> DataFrame:
     """Units extracted from distinct contents, put back to the files that hold them."""
-    sources = h.history_sources(spark, sf, broken)
+    sources = landed_sources(spark, sf, broken)
     files = units.file_versions(sources)
     return files.join(extracted(units.extract_units(sources)), "content_sha").drop("content_sha")
 
@@ -276,7 +281,7 @@ def _methods_of(found: DataFrame) -> DataFrame:
 
 @register
 def parse_status(spark, sf):
-    sources = h.history_sources(spark, sf, broken=True)
+    sources = landed_sources(spark, sf, broken=True)
     status = units.parse_status(units.file_versions(sources), units.extract_units(sources))
     return _long(status, "n_methods", "n_imports")
 
@@ -487,7 +492,7 @@ def _call_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @register
 def call_alignment(spark, sf):
-    aligned = call_ops.align_calls(*_call_rows(spark, sf), [*FILE_PAIR, "old_ord", "new_ord"])
+    aligned = call_ops.align_nested_calls(_method_pairs(spark, sf), [*FILE_PAIR, "old_ord", "new_ord"])
     return _long(aligned, "old_ord", "new_ord").select(
         *FILE_PAIR, "old_ord", "new_ord", "status",
         F.col("old.call_ord").cast("long").alias("old_call"), F.col("new.call_ord").cast("long").alias("new_call"),
@@ -526,7 +531,7 @@ _AT_REST: dict[tuple[str, str], str] = {}
 def build_changes(spark: SparkSession, sf: str, **switches) -> DataFrame:
     """Change records of the whole supplier history, from source text."""
     releases = catalog_ops.name_releases(h.history_releases(spark, sf))
-    return build_change_records(releases, h.history_sources(spark, sf), **switches)
+    return build_change_records(releases, landed_sources(spark, sf), **switches)
 
 
 def changes_at_rest(spark: SparkSession, sf: str) -> DataFrame:
