@@ -26,7 +26,6 @@ HEADLINE = [
     "method_match_exact",
     "method_diff",
     "call_diff",
-    "change_records",
     "write_change_dataset",
     "branch_statistics",
     "change_regression",

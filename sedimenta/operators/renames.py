@@ -55,13 +55,13 @@ def _tokens(chars: Column) -> Column:
 
 
 def _marks(name: Column) -> Column:
-    """Pairs of rare characters of a name, with the place of the second: blocking keys.
+    """Blocking keys of a name: pairs of rare characters, and the name itself.
 
     Let two similar names have lengths a and b and t be the number of characters
     they must have in common. With characters in one global order, the first
     ``a - t + 2`` of one and the first ``b - t + 2`` of the other share two. Here b
     is not known yet, so t is taken for the shortest name that could be similar;
-    with the place the join applies the real t.
+    ``place``, where the second character stands, lets the join apply the real t.
     """
     size = F.length(name)
     shortest = F.ceil(size * (NAME_SIMILARITY / (2 - NAME_SIMILARITY))).cast("int")
@@ -78,44 +78,30 @@ def _marks(name: Column) -> Column:
             )
         )
 
-    return let(F.slice(let(characters(name), _tokens), F.lit(1), kept), pairs)
+    own = F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("="), name).alias("mark")))
+    return F.concat(own, let(F.slice(let(characters(name), _tokens), F.lit(1), kept), pairs))
 
 
-def similar_names(old_names: DataFrame, new_names: DataFrame) -> DataFrame:
-    """Pairs (old_name, new_name) within a release pair whose similarity is high enough.
-
-    Inputs are distinct (PAIR, old_name) and (PAIR, new_name). Keys are computed
-    and similarities are taken once per distinct name, or pair of names, whatever
-    number of releases they occur in.
-    """
-    same = old_names.join(
-        new_names.withColumn("old_name", F.col("new_name")), [*PAIR, "old_name"]
-    ).select(*PAIR, "old_name", "new_name")
-
-    distinct = old_names.select(F.col("old_name").alias("name")).union(new_names.select("new_name")).distinct()
-    marks = stage(distinct.withColumn("marks", _marks(F.col("name"))), "marks")
-
-    def marked(names: DataFrame, side: str) -> DataFrame:
-        found = names.join(marks.withColumnRenamed("name", f"{side}_name"), f"{side}_name")
-        return found.select(*PAIR, f"{side}_name", F.inline("marks").alias(f"{side}_place", "mark"))
-
+def _fits() -> Column:
+    """Whether the places of a shared mark allow the names to be similar enough."""
     old_size, new_size = F.length("old_name"), F.length("new_name")
     least = _least_common(old_size, new_size)
-    fits = (
+    return (
         (least <= F.least(old_size, new_size))
         & (F.col("old_place") <= old_size - least + _SHARED)
         & (F.col("new_place") <= new_size - least + _SHARED)
-        & (F.col("old_name") != F.col("new_name"))
-    )
-    candidates = (
-        marked(old_names, "old").join(marked(new_names, "new"), [*PAIR, "mark"])
-        .where(fits).select(*PAIR, "old_name", "new_name").distinct()
     )
-    candidates = stage(candidates, "candidates")
-    near = candidates.select("old_name", "new_name").distinct().where(
+
+
+def _near(candidates: DataFrame) -> DataFrame:
+    """Candidates with similar names; each pair of names is scored once, wherever it occurs."""
+    unequal = candidates.where("old_name != new_name")
+    scored = unequal.select("old_name", "new_name").distinct().where(
         similarity_ratio(F.col("old_name"), F.col("new_name")) > NAME_SIMILARITY
     )
-    return same.unionByName(candidates.join(near, ["old_name", "new_name"]).select(*same.columns))
+    return candidates.where("old_name = new_name").unionByName(
+        unequal.join(scored, ["old_name", "new_name"]).select(*candidates.columns)
+    )
 
 
 def _classes(files: DataFrame, side: str, single: bool) -> DataFrame:
@@ -134,49 +120,61 @@ def _classes(files: DataFrame, side: str, single: bool) -> DataFrame:
 def acceptable_classes(old: DataFrame, new: DataFrame, tie_self: bool = False) -> DataFrame:
     """Class pairs (PAIR, old_class, new_class) that may be matched.
 
-    A class without methods goes by its name alone. Otherwise more than half of
-    the shorter list must be shared; so one of the shorter list's names outside a
-    just too small rest is shared, and joining on those names finds every pair.
+    A class without methods goes by its name alone, any other by name and methods
+    at once. More than half of the shorter list must be shared; so at least one of
+    the shorter list's names, leaving out just too few of them, is shared. Joining
+    on such a *topic* together with a mark of the file name finds every pair, yet
+    neither thousands of alike names nor a common method makes all pairs meet.
     """
-    names = stage(
-        similar_names(old.select(*PAIR, "old_name").distinct(), new.select(*PAIR, "new_name").distinct()), "names"
-    )
-    block = [*PAIR, "old_name", "new_name"]
-    olds = stage(names.join(old.drop("path").distinct(), [*PAIR, "old_name"]), "old-classes")
-    news = stage(names.join(new.drop("path").distinct(), [*PAIR, "new_name"]), "new-classes")
+    olds, news = old.drop("path").distinct(), new.drop("path").distinct()
+    base_names = olds.select(F.col("old_name").alias("name")).union(news.select("new_name")).distinct()
+    marks = stage(base_names.withColumn("marks", _marks(F.col("name"))), "marks")
     columns = [*PAIR, "old_class", "new_class"]
 
-    def by_name(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, block)
-
-    no_old = by_name(olds.where("n_old = 0"), news)
-    no_new = by_name(olds.where("n_old > 0"), news.where("n_new = 0"))
-
     def marked(rows: DataFrame, side: str) -> DataFrame:
-        # Long names are the rarer ones.
-        own = F.array_distinct(f"{side}_methods")
-        ordered = F.array_sort(F.transform(own, lambda m: F.struct((-F.length(m)).alias("l"), m.alias("method"))))
-        probes = F.size(own) - F.floor(F.col(f"n_{side}") * COMMON_METHODS)
-        return rows.where(F.col(f"n_{side}") > 0).select(
-            *block, f"{side}_class", f"n_{side}", probes.alias(f"{side}_probes"),
-            F.posexplode(F.transform(ordered, lambda m: m["method"])).alias(f"{side}_place", "method"),
+        found = rows.join(marks.withColumnRenamed("name", f"{side}_name"), f"{side}_name")
+        return found.select(*rows.columns, F.inline("marks").alias(f"{side}_place", "mark"))
+
+    # Names alone: one side has no methods. Classes of a name come in afterwards.
+    def names_of(rows: DataFrame, side: str, condition: str) -> DataFrame:
+        return marked(rows.where(condition).select(*PAIR, f"{side}_name").distinct(), side)
+
+    def by_name(old_condition: str, new_condition: str) -> DataFrame:
+        names = names_of(olds, "old", old_condition).join(names_of(news, "new", new_condition), [*PAIR, "mark"])
+        names = _near(stage(names.where(_fits()).select(*PAIR, "old_name", "new_name").distinct(), "names"))
+        return names.join(olds.where(old_condition), [*PAIR, "old_name"]).join(
+            news.where(new_condition), [*PAIR, "new_name"]
         )
 
-    old_shorter = (F.col("n_old") <= F.col("n_new")) & (F.col("old_place") < F.col("old_probes"))
-    new_shorter = (F.col("n_new") < F.col("n_old")) & (F.col("new_place") < F.col("new_probes"))
-    shared = marked(olds, "old").join(marked(news, "new"), [*block, "method"])
-    shared = shared.where(old_shorter | new_shorter).select(*block, "old_class", "new_class").distinct()
-    shared = (
-        shared.join(olds.select(*block, "old_class", "old_methods"), [*block, "old_class"])
-        .join(news.drop("n_new"), [*block, "new_class"])
-        .where(shared_method_ratio(F.col("old_methods"), F.col("new_methods")) > COMMON_METHODS)
+    # Names and methods.
+    def with_topics(rows: DataFrame, side: str) -> DataFrame:
+        n = F.col(f"n_{side}")
+        # Long names are the rarer ones, so they are probed first.
+        own = F.array_distinct(f"{side}_methods")
+        ordered = F.array_sort(F.transform(own, lambda m: F.struct((-F.length(m)).alias("l"), m.alias("m"))))
+        probes = F.size(own) - F.floor(n * COMMON_METHODS)
+        topics = F.transform(ordered, lambda m, i: F.struct(m["m"].alias("topic"), (i < probes).alias("probe")))
+        if tie_self:
+            # Lists of one length match on the old list's own duplicates.
+            enough = F.size(own) > n * COMMON_METHODS if side == "old" else F.lit(True)
+            tie = F.struct(F.concat(F.lit("="), n.cast("string")).alias("topic"), enough.alias("probe"))
+            topics = F.array_append(topics, tie)
+        keyed = marked(rows.where(n > 0).select(*PAIR, f"{side}_class", f"{side}_name", f"n_{side}", topics.alias("topics")), side)
+        rest = [c for c in keyed.columns if c != "topics"]
+        return keyed.select(*rest, F.inline("topics").alias("topic", f"{side}_probe"))
+
+    old_shorter = (F.col("n_old") <= F.col("n_new")) & F.col("old_probe")
+    new_shorter = (F.col("n_new") < F.col("n_old")) & F.col("new_probe")
+    met = with_topics(olds, "old").join(with_topics(news, "new"), [*PAIR, "mark", "topic"])
+    met = met.where(_fits() & (old_shorter | new_shorter)).select(*columns, "old_name", "new_name").distinct()
+    ratio = shared_method_ratio(F.col("old_methods"), F.col("new_methods"), tie_self)
+    both = (
+        _near(stage(met, "candidates"))
+        .join(olds.drop("old_name"), [*PAIR, "old_class"])
+        .join(news.drop("new_name"), [*PAIR, "new_class"])
+        .where(ratio > COMMON_METHODS)
     )
-    if tie_self:
-        shared = shared.where(F.size("old_methods") != F.size("new_methods"))
-    edges = [no_old, no_new, shared]
-    if tie_self:
-        own = olds.where("n_old > 0").where(F.size(F.array_distinct("old_methods")) / F.col("n_old") > COMMON_METHODS)
-        edges.append(own.join(news.withColumn("n_old", F.col("n_new")), [*block, "n_old"]))
+    edges = [both, by_name("n_old = 0", "n_new >= 0"), by_name("n_old > 0", "n_new = 0")]
     if "claimed" in new.columns:
         # Single files: a new file whose own partner comes later is still open.
         still_open = ~F.col("claimed") | (F.col("new_class") > F.col("old_class"))

@@ -43,6 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over enough tasks for work that far exceeds their size in bytes.
+
+    A row that names an archive or a file is tiny, but handling it is not. The
+    explicit number keeps AQE from merging such rows into a few tasks by size.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import normalize_newlines
+from sedimenta.session import spread
 
 # The members worth keeping of a release archive.
 KEPT_MEMBERS = ("*.py", "requirements*.txt")
@@ -105,9 +106,9 @@ def read_source_tree(releases: DataFrame, root: str, patterns: tuple[str, ...] =
     listed names between them, so one huge release is read by many tasks.
     Unreadable files keep their row with null content.
     """
-    spread = releases.select("repository_name", "branch").distinct()
-    listed = spread.mapInArrow(_list_releases(root, patterns), _LISTED_DDL)
-    files = listed.repartition("repository_name", "branch", "path").mapInArrow(_read_files(root), _RAW_DDL)
+    folders = spread(releases.select("repository_name", "branch").distinct(), "repository_name", "branch")
+    listed = folders.mapInArrow(_list_releases(root, patterns), _LISTED_DDL)
+    files = spread(listed, "repository_name", "branch", "path").mapInArrow(_read_files(root), _RAW_DDL)
     return files.select("repository_name", "branch", "path", decoded(F.col("raw")).alias("content"))
 
 
@@ -152,5 +153,6 @@ def expand_archives(
     todo = releases.select("repository_name", "branch").distinct()
     if extracted is not None:
         todo = todo.join(extracted.select("repository_name", "branch"), ["repository_name", "branch"], "left_anti")
+    todo = spread(todo, "repository_name", "branch")
     files = todo.mapInArrow(_expand(root, archive_name), _RAW_DDL)
     return files.select("repository_name", "branch", "path", decoded(F.col("raw")).alias("content"))
