@@ -146,27 +146,36 @@ def acceptable_classes(old: DataFrame, new: DataFrame, tie_self: bool = False) -
             news.where(new_condition), [*PAIR, "new_name"]
         )
 
-    # Names and methods.
+    # Names and methods. The role, part of the join key, tells which side is taken
+    # for the shorter one; only that side's probes and the other's topics meet.
     def with_topics(rows: DataFrame, side: str) -> DataFrame:
         n = F.col(f"n_{side}")
+        as_short, as_long = ("old", "new") if side == "old" else ("new", "old")
         # Long names are the rarer ones, so they are probed first.
         own = F.array_distinct(f"{side}_methods")
         ordered = F.array_sort(F.transform(own, lambda m: F.struct((-F.length(m)).alias("l"), m.alias("m"))))
         probes = F.size(own) - F.floor(n * COMMON_METHODS)
-        topics = F.transform(ordered, lambda m, i: F.struct(m["m"].alias("topic"), (i < probes).alias("probe")))
+
+        def topic(value: Column, role: str) -> Column:
+            return F.struct(value.alias("topic"), F.lit(role).alias("shorter"))
+
+        topics = F.concat(
+            F.transform(ordered, lambda m: topic(m["m"], as_long)),
+            F.transform(F.filter(ordered, lambda _, i: i < probes), lambda m: topic(m["m"], as_short)),
+        )
         if tie_self:
             # Lists of one length match on the old list's own duplicates.
-            enough = F.size(own) > n * COMMON_METHODS if side == "old" else F.lit(True)
-            tie = F.struct(F.concat(F.lit("="), n.cast("string")).alias("topic"), enough.alias("probe"))
-            topics = F.array_append(topics, tie)
-        keyed = marked(rows.where(n > 0).select(*PAIR, f"{side}_class", f"{side}_name", f"n_{side}", topics.alias("topics")), side)
-        rest = [c for c in keyed.columns if c != "topics"]
-        return keyed.select(*rest, F.inline("topics").alias("topic", f"{side}_probe"))
-
-    old_shorter = (F.col("n_old") <= F.col("n_new")) & F.col("old_probe")
-    new_shorter = (F.col("n_new") < F.col("n_old")) & F.col("new_probe")
-    met = with_topics(olds, "old").join(with_topics(news, "new"), [*PAIR, "mark", "topic"])
-    met = met.where(_fits() & (old_shorter | new_shorter)).select(*columns, "old_name", "new_name").distinct()
+            tie = F.array(topic(F.concat(F.lit("="), n.cast("string")), "old"))
+            if side == "old":
+                tie = F.filter(tie, lambda _: F.size(own) > n * COMMON_METHODS)
+            topics = F.concat(topics, tie)
+        rows = rows.where(n > 0).select(*PAIR, f"{side}_class", f"{side}_name", f"n_{side}", topics.alias("topics"))
+        keyed = marked(rows, side)
+        return keyed.select(*[c for c in keyed.columns if c != "topics"], F.inline("topics"))
+
+    met = with_topics(olds, "old").join(with_topics(news, "new"), [*PAIR, "mark", "topic", "shorter"])
+    right_role = (F.col("shorter") == "old") == (F.col("n_old") <= F.col("n_new"))
+    met = met.where(_fits() & right_role).select(*columns, "old_name", "new_name").distinct()
     ratio = shared_method_ratio(F.col("old_methods"), F.col("new_methods"), tie_self)
     both = (
         _near(stage(met, "candidates"))
