@@ -13,8 +13,8 @@ def column(spark, values, expression, kind="string"):
 
 
 def test_repository_names(spark):
-    urls = ["https://github.com/a/b", "https://pypi.org/project/gensim/", "https://gitlab.com/a/b", "x"]
-    assert column(spark, urls, names.repo_name) == ["b", "gensim", "b", None]
+    urls = ["https://github.com/a/b", "https://pypi.org/project/flask/", "https://gitlab.com/a/b", "x"]
+    assert column(spark, urls, names.repo_name) == ["b", "flask", "b", None]
     assert column(spark, urls, lambda u: names.repo_name(u, ("github",)))[2] == "a"
 
 
