@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
 from .exact import exact_duplicates
+from .pages import main_texts
 from .tokens import token_count, token_prefixes
 
 TOKEN_LIMIT = 4096
@@ -33,9 +35,30 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumnRenamed("id", "doc_id")
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    lengths = F.transform("spans", lambda span: span["end"] - span["first"])
+    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda total, length: total + length)
+    return hits.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_texts(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op3_exact_dedup": exact_dedup,
+    "op6_benchmark_decontamination": benchmark_decontamination,
+    "op10_html_extraction": html_extraction,
 }
 
 ORACLES = {
@@ -44,4 +67,24 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_benchmark_decontamination": r"""
+        WITH doc AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        item AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+        starts AS (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS pos FROM item WHERE len(words) > 0),
+        wanted AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[pos:pos + 9], ' ') AS piece FROM starts),
+        sizes AS (SELECT DISTINCT n FROM wanted),
+        places AS (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM doc, sizes WHERE len(words) >= n),
+        pieces AS (SELECT doc_id, n, pos, array_to_string(words[pos:pos + n - 1], ' ') AS piece FROM places),
+        found AS (SELECT doc_id, item_id, n, pos FROM pieces JOIN wanted USING (n, piece)),
+        hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS word FROM found) GROUP BY doc_id),
+        owner AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found) GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN owner USING (doc_id)
+    """,
 }
