@@ -12,9 +12,11 @@ from .common import table
 from .decontaminate import contamination
 from .exact import exact_duplicates
 from .pages import main_texts
+from .quality import quality_scores, train
+from .sharding import shards
 from .tokens import token_count, token_prefixes
 
-TOKEN_LIMIT = 4096
+TOKEN_LIMIT, KEPT_SCORE = 4096, 0.7
 
 
 def model_bytes() -> bytes:
@@ -35,6 +37,17 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumnRenamed("id", "doc_id")
 
 
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards(table(spark, sf_dir, "documents"), 8).withColumnRenamed("id", "doc_id")
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scores.withColumnRenamed("id", "doc_id").withColumn("predicted", (F.col("score") >= KEPT_SCORE).cast("int"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     lengths = F.transform("spans", lambda span: span["end"] - span["first"])
@@ -57,6 +70,8 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": token_counts,
     "op3_exact_dedup": exact_dedup,
+    "op4_sharding": sharding,
+    "op5_quality_classifier": quality_classifier,
     "op6_benchmark_decontamination": benchmark_decontamination,
     "op10_html_extraction": html_extraction,
 }
