@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_duplicates
+from .near import near_duplicates
 from .pages import main_texts
 from .quality import quality_scores, train
 from .sharding import shards
@@ -32,6 +33,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2).withColumnRenamed("id", "doc_id")
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
     return classes.withColumnRenamed("id", "doc_id")
@@ -69,6 +74,7 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_counts,
+    "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_exact_dedup": exact_dedup,
     "op4_sharding": sharding,
     "op5_quality_classifier": quality_classifier,
@@ -77,6 +83,23 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS words FROM documents),
+        place AS (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS pos FROM doc WHERE len(words) > 0),
+        shingle AS (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 1], ' ') AS piece FROM place),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+                 FROM shingle x JOIN shingle y ON x.piece = y.piece AND x.doc_id < y.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN size s ON a = s.doc_id JOIN size t ON b = t.doc_id
+                 WHERE 100 * common >= 80 * (s.n + t.n - common)),
+        both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents
+                  UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
