@@ -15,6 +15,7 @@ from .near import near_duplicates
 from .pages import main_texts
 from .quality import quality_scores, train
 from .sharding import shards
+from .substrings import repeated_spans
 from .tokens import token_count, token_prefixes
 
 TOKEN_LIMIT, KEPT_SCORE = 4096, 0.7
@@ -67,6 +68,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = main_texts(table(spark, sf_dir, "pages"))
     return texts.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op4_sharding": sharding,
     "op5_quality_classifier": quality_classifier,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op8_substring_dedup": substring_dedup,
     "op10_html_extraction": html_extraction,
 }
 
@@ -125,4 +132,15 @@ ORACLES = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN owner USING (doc_id)
     """,
+    "op8_substring_dedup": r"""
+        WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        place AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM doc WHERE len(words) >= 35),
+        piece AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 34], ' ')) AS digest FROM place),
+        twice AS (SELECT digest FROM piece GROUP BY digest HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM piece JOIN twice USING (digest)),
+        word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM doc WHERE len(words) > 0),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (doc_id)
+    """,
 }
