@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_duplicates
+from .lines import duplicate_lines
 from .near import near_duplicates
 from .pages import main_texts
 from .quality import quality_scores, train
@@ -73,6 +74,11 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = duplicate_lines(table(spark, sf_dir, "documents"))
+    return lines.withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
+
+
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = main_texts(table(spark, sf_dir, "pages"))
     return texts.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -85,6 +91,7 @@ QUERIES = {
     "op4_sharding": sharding,
     "op5_quality_classifier": quality_classifier,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op7_line_dedup": line_dedup,
     "op8_substring_dedup": substring_dedup,
     "op10_html_extraction": html_extraction,
 }
