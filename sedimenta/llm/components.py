@@ -38,4 +38,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def fingerprint(edges: DataFrame) -> tuple:
     mixed = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.shiftright(mixed, 20))).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.pmod(mixed, F.lit(1_000_003)))).first())

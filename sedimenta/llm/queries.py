@@ -14,6 +14,7 @@ from .exact import exact_duplicates
 from .lines import duplicate_lines
 from .near import near_duplicates
 from .pages import main_texts
+from .pieces import decode, encode
 from .quality import quality_scores, train
 from .sharding import shards
 from .substrings import repeated_spans
@@ -79,6 +80,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
 
 
+def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents"), model_bytes())
+    decoded = decode(encoded, model_bytes())
+    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.col("ids").alias("piece_ids"), "text")
+
+
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = main_texts(table(spark, sf_dir, "pages"))
     return texts.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -93,6 +100,7 @@ QUERIES = {
     "op6_benchmark_decontamination": benchmark_decontamination,
     "op7_line_dedup": line_dedup,
     "op8_substring_dedup": substring_dedup,
+    "op9_sentencepiece_codec": sentencepiece_codec,
     "op10_html_extraction": html_extraction,
 }
 

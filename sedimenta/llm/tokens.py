@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +24,14 @@ SEGMENTS = [
     re.compile(f"{SPACE}+[^{SPACE}]*"),
     re.compile(".+", re.DOTALL),
 ]
+
+
+def segment_form(pieces: Iterable[str]) -> re.Pattern:
+    inner = {piece[i : i + 2] for piece in pieces for i in range(len(piece) - 1)}
+    return next(form for form in SEGMENTS if all(form.findall(SPACE + x)[-1].endswith(x) for x in inner))
+
+
+#: What one task keeps of segments and of pairs of tokens it has met.
 SEGMENTS_KEPT, PAIRS_KEPT = 200_000, 1 << 19
 
 
@@ -48,8 +56,7 @@ class PrefixCounter:
             for i in range(library.get_piece_size())
             if not any(is_kind(i) for is_kind in special)
         }
-        inner = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
-        self.cut = next(form for form in SEGMENTS if all(form.findall(SPACE + x)[-1].endswith(x) for x in inner))
+        self.cut = segment_form(self.rank)
         self.halves = lru_cache(PAIRS_KEPT)(self._halves)
         self.ends = ahocorasick.Automaton()
         for number, piece in enumerate(self.rank, 1):
