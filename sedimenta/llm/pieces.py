@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import id_and_text, slices
-from .tokens import SPACE, segment_form
+from .common import id_and_text, packed, slices
+from .tokens import SPACE, PrefixCounter, segment_form
 
 #: Text of one bundle, and text whose words one lattice task works on.
 BUNDLE_BYTES, PART_BYTES = 64 << 20, 8 << 20
 #: How much worse than the worst piece a character without a piece scores.
 UNKNOWN_PENALTY = 10.0
+#: Characters of a word whose lattice is folded in a row (a bit for each border).
+LONGEST_WORD = 60
 
 
 class Vocabulary:
@@ -36,10 +38,29 @@ class Vocabulary:
         self.pieces = {i: library.id_to_piece(i) for i in ids if not any(kind(i) for kind in silent)}
         self.scores = {i: float(library.get_score(i)) for i in self.pieces}
         self.form = segment_form(self.pieces.values())
+        self.inner = {piece[i : i + 2] for piece in self.pieces.values() for i in range(len(piece) - 1)}
+        self.by_merges = all(score.is_integer() for score in self.scores.values())  # ranks of merges
+        self.model, self.counter = model, None
 
     def segments(self, text: str) -> list[str]:
         """The marked text in segments that no piece reaches out of."""
-        return self.form.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        found = self.form.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if any(len(x) > LONGEST_WORD for x in found):
+            found = [y for x in found for y in (self.cut(x) if len(x) > LONGEST_WORD else (x,))]
+        return found
+
+    def cut(self, segment: str) -> list[str]:
+        """Cuts wherever no piece holds the two characters side by side."""
+        at = [0, *(i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.inner), len(segment)]
+        return [segment[a:b] for a, b in zip(at, at[1:])]
+
+    def long(self, word: str) -> list[int]:
+        """Pieces of a word that is too long for a lattice row."""
+        if not self.by_merges:
+            return viterbi(word, self)
+        self.counter = self.counter or PrefixCounter(self.model)
+        ids = {piece: i for i, piece in self.pieces.items()}
+        return self.expanded([ids.get(token, -1 - ord(token[0])) for token in self.counter.tokens(word)])
 
     def expanded(self, ids: list[int]) -> list[int]:
         """Replaces -1 - c, a character c without a piece, by its bytes' ids."""
@@ -62,49 +83,70 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, piece_id int, score double")
 
 
-def encoded_words(words: DataFrame, table: DataFrame, longest: int, unknown_score: float) -> DataFrame:
-    """Adds ``ids``, the best path of pieces, to rows of distinct ``word``s and ``bundles``.
+#: The two folds over a word's edges. Merges, for models whose scores are ranks of
+#: merges: ``cuts`` has a bit for each border between symbols; again and again the best
+#: edge that has exactly one cut inside loses it. Edges are sorted by rank and start.
+MERGED = """
+    transform(array_sort(filter(edges, edge ->
+        (cuts & edge.ends) = edge.ends AND bit_count(cuts & edge.inside) = 0), (x, y) -> x.start - y.start),
+        edge -> edge.id)
+"""
+CUTS = """
+    aggregate(sequence(1, length), shiftleft(1L, length + 1) - 1, (cuts, step) -> cuts & ~coalesce(
+        get(filter(edges, edge -> (cuts & edge.ends) = edge.ends AND bit_count(cuts & edge.inside) = 1), 0).inside, 0L))
+"""
+#: Viterbi, for models whose scores are logarithms of probabilities: ``total[p]`` is the
+#: best score up to position p, ``back[p]`` its last edge; on a tie the longer edge
+#: stays. Edges are sorted by end and start. The second fold walks back.
+FORWARD = """
+    aggregate(edges,
+        named_struct('total', array(0D), 'back', array(named_struct('start', 0, 'id', 0))),
+        (path, edge) -> IF(
+            edge.end = size(path.total),
+            named_struct('total', array_append(path.total, path.total[edge.start] + edge.score),
+                         'back', array_append(path.back, named_struct('start', edge.start, 'id', edge.id))),
+            IF(path.total[edge.start] + edge.score > path.total[edge.end],
+                named_struct('total', array_append(slice(path.total, 1, edge.end), path.total[edge.start] + edge.score),
+                             'back', array_append(slice(path.back, 1, edge.end), named_struct('start', edge.start, 'id', edge.id))),
+                path)),
+        path -> path.back)
+"""
+BACKWARD = """
+    reverse(aggregate(back,
+        named_struct('at', size(back) - 1, 'ids', cast(array() AS array<int>)),
+        (walk, _) -> IF(walk.at = 0, walk,
+            named_struct('at', back[walk.at].start, 'ids', array_append(walk.ids, back[walk.at].id))),
+        walk -> walk.ids))
+"""
+
+
+def encoded_words(words: DataFrame, table: DataFrame, longest: int, unknown_score: float, by_merges: bool) -> DataFrame:
+    """Adds ``ids`` to rows of distinct ``word``s (of ``LONGEST_WORD`` at most) and ``bundles``.
 
     Substrings of bounded length are exploded and joined to the piece table, which its
     vocabulary bounds and which is therefore broadcast; every character has an edge of
-    its own besides. Edges are grouped by word and folded in order of their ends:
-    ``total[p]`` is the best score up to position p, ``back[p]`` its last edge. On a
-    tie the longer last piece stays. A second fold walks back from the end.
+    its own besides. Edges are grouped by word and folded by a higher-order function.
+    A character c without a piece gets the id -1 - c.
     """
     starts = words.select("word", "bundles", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("word") - F.col("start")))
     ends = starts.select("word", "bundles", "start", F.explode(lengths).alias("length"))
     spans = ends.select("word", "bundles", "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
     edges = spans.join(F.broadcast(table), "piece", "left").where("length = 1 OR piece_id IS NOT NULL")
-    edge = F.struct(
-        (F.col("start") + F.col("length")).alias("end"),
-        "start",
-        F.coalesce("piece_id", -1 - F.ascii("piece")).alias("id"),
-        F.coalesce("score", F.lit(unknown_score)).alias("score"),
-    )
+    number = F.coalesce("piece_id", -1 - F.ascii("piece")).alias("id")
+    if by_merges:
+        ends = F.expr("shiftleft(1L, start) | shiftleft(1L, start + length)").alias("ends")
+        inside = F.expr("shiftleft(1L, start + length) - shiftleft(1L, start + 1)").alias("inside")
+        edge = F.struct((-F.coalesce("score", F.lit(0.0))).alias("rank"), "start", ends, inside, number)
+    else:
+        edge = F.struct((F.col("start") + F.col("length")).alias("end"), "start", number, F.coalesce("score", F.lit(unknown_score)).alias("score"))
     lattices = edges.groupBy("word").agg(F.first("bundles").alias("bundles"), F.array_sort(F.collect_list(edge)).alias("edges"))
-    forward = """
-        aggregate(edges,
-            named_struct('total', array(0D), 'back', array(named_struct('start', 0, 'id', 0))),
-            (path, edge) -> IF(
-                edge.end = size(path.total),
-                named_struct('total', array_append(path.total, path.total[edge.start] + edge.score),
-                             'back', array_append(path.back, named_struct('start', edge.start, 'id', edge.id))),
-                IF(path.total[edge.start] + edge.score > path.total[edge.end],
-                    named_struct('total', array_append(slice(path.total, 1, edge.end), path.total[edge.start] + edge.score),
-                                 'back', array_append(slice(path.back, 1, edge.end), named_struct('start', edge.start, 'id', edge.id))),
-                    path)),
-            path -> path.back)
-    """
-    backward = """
-        reverse(aggregate(back,
-            named_struct('at', size(back) - 1, 'ids', cast(array() AS array<int>)),
-            (walk, _) -> IF(walk.at = 0, walk,
-                named_struct('at', back[walk.at].start, 'ids', array_append(walk.ids, back[walk.at].id))),
-            walk -> walk.ids))
-    """
-    folded = lattices.select("word", "bundles", F.expr(forward).alias("back"))
-    return folded.select("word", "bundles", F.expr(backward).alias("ids"))
+    if by_merges:
+        folded = lattices.select("word", "bundles", "edges", F.char_length("word").alias("length"))
+        folded = folded.select("word", "bundles", "edges", F.expr(CUTS).alias("cuts"))
+        return folded.select("word", "bundles", F.expr(MERGED).alias("ids"))
+    folded = lattices.select("word", "bundles", F.expr(FORWARD).alias("back"))
+    return folded.select("word", "bundles", F.expr(BACKWARD).alias("ids"))
 
 
 def bundled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -130,12 +172,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     came from, packed with others; the bundle's texts, compressed, meet its words in
     one task, which looks them up. So no word occurrence is shuffled.
 
-    The path has the best sum of scores, which is how the library encodes with unigram
-    models. Characters without a piece become their bytes.
+    Ids are those of the library: for a model whose scores are ranks of merges (BPE) the
+    edges are folded by merging, for one with logarithms of probabilities (unigram) by
+    Viterbi. Characters without a piece become their bytes. Words of over
+    ``LONGEST_WORD`` characters are encoded by prefixes, as in ``tokens``, in the task
+    that looks words up.
 
     Defined results: null and empty texts have no pieces. A literal word mark in a text
     counts as a space. Null ids, ties and repeated rows pass row by row; an empty table
-    gives no rows. A word's lattice is built whole, however long the word.
+    gives no rows.
     """
     spark = docs.sparkSession
     vocabulary = Vocabulary(model)
@@ -147,7 +192,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         seen: dict[int, set[str]] = defaultdict(set)
         for batch in slices(batches, "body"):
             for bundle, text in zip(batch.column("bundle").to_pylist(), batch.column("body").to_pylist()):
-                seen[bundle].update(vocabulary.segments(text))
+                seen[bundle].update(x for x in vocabulary.segments(text) if len(x) <= LONGEST_WORD)
             if sum(map(len, seen.values())) > 1_000_000:  # else one row for each word of a bundle and task
                 yield from pairs(seen)
                 seen.clear()
@@ -164,7 +209,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     distinct = found.repartition(parts, "word").groupBy("word").agg(F.collect_set("bundle").alias("bundles"))
     longest = max(map(len, vocabulary.pieces.values()))
     worst = min(vocabulary.scores.values()) - UNKNOWN_PENALTY
-    known = encoded_words(distinct, piece_table(spark, vocabulary), longest, worst)
+    known = encoded_words(distinct, piece_table(spark, vocabulary), longest, worst, vocabulary.by_merges)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -180,16 +225,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             blob = press.compress(pickle.dumps(sorted(entries)))
             yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int32()), pa.array([blob], pa.binary())], ["bundle", "packed"])
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "body"):
-            blobs = pa.array([press.compress(text.encode()) for text in batch.column("body").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("bundle"), batch.column("id"), blobs], ["bundle", "id", "packed"])
-
     entries = known.mapInArrow(pack, "bundle int, packed binary").select("bundle", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), "packed")
-    texts = rows.mapInArrow(compress, f"bundle int, id {kind}, packed binary").select("bundle", F.lit(1).alias("kind"), "id", "packed")
+    texts = packed(rows).select("bundle", F.lit(1).alias("kind"), "id", "packed")
     together = entries.unionByName(texts).repartition(parts, "bundle").sortWithinPartitions("bundle", "kind")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +241,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     of, current = {}, bundle
                 raw = open_.decompress(blob)
                 if is_text:
-                    parts_of = [of[word] for word in vocabulary.segments(raw.decode())]
+                    parts_of = [of[x] if x in of else np.array(vocabulary.long(x), dtype=np.int32) for x in vocabulary.segments(raw.decode())]
                     ids.append(row_id)
                     lists.append(np.concatenate(parts_of) if parts_of else np.zeros(0, dtype=np.int32))
                 else:

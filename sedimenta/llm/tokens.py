@@ -103,7 +103,19 @@ class PrefixCounter:
                 return True
 
     def counted(self, text: str) -> list[int]:
-        """Tokens of each nonempty prefix of a text."""
+        """Tokens of each nonempty prefix of a segment."""
+        return self.walked(text)[1][1:]
+
+    def tokens(self, text: str) -> list[str]:
+        """The encoding of a segment itself."""
+        last, end, out = self.walked(text)[0], len(text), []
+        while end:
+            out.append(last[end])
+            end -= len(last[end])
+        return out[::-1]
+
+    def walked(self, text: str) -> tuple[list[str], list[int]]:
+        """Last token and number of tokens of each prefix."""
         names, tokens, total = [0] * (len(text) + 1), [""] * (len(text) + 1), [0] * (len(text) + 1)
         pairs, done = self.pairs, 0
         for end, (number, length, piece) in self.ends.iter(text):
@@ -128,7 +140,7 @@ class PrefixCounter:
         while done < len(text):
             self.lone(text, done, names, tokens, total)
             done += 1
-        return total[1:]
+        return tokens, total
 
     @staticmethod
     def lone(text: str, at: int, names: list[int], tokens: list[str], total: list[int]) -> None:
