@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +43,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             if stop == batch.num_rows or batch.column(column)[at : stop + 1].nbytes > limit:
                 yield batch.slice(at, stop - at)
                 at = stop
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``id``, ``content`` and the text as compressed bytes, about half of what a join
+    would move otherwise. Other columns are dropped."""
+    kept = [x for x in ("id", "content", "bundle") if x in rows.columns]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches, "body"):
+            bodies = pa.array([press.compress(text.encode()) for text in batch.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), bodies], [*kept, "packed"])
+
+    fields = ", ".join(f"{x} {rows.schema[x].dataType.simpleString()}" for x in kept)
+    return rows.select(*kept, "body").mapInArrow(pack, f"{fields}, packed binary")
+
+
+def unpacked(blobs: Iterable[bytes]) -> Iterator[str]:
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    return (open_.decompress(blob).decode() for blob in blobs)

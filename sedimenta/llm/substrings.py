@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import id_and_text, slices
+from .common import id_and_text, packed, slices, unpacked
 
 #: Words whose hash decides where paths are cut.
 GRAM = 11
@@ -83,28 +83,6 @@ def path_rows(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("content", "body").mapInArrow(cut, "content binary, anchor bigint, span bigint, first int, windows int")
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Texts as compressed bytes, which halves what joins move."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "body"):
-            bodies = pa.array([press.compress(text.encode()) for text in batch.column("body").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), bodies], ["id", "content", "packed"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(pack, f"id {kind}, content binary, packed binary")
-
-
-def unpacked(column: pa.Array) -> Iterator[str]:
-    import zstandard
-
-    open_ = zstandard.ZstdDecompressor()
-    return (open_.decompress(body).decode() for body in column.to_pylist())
-
-
 def window_rows(texts: DataFrame, width: int) -> DataFrame:
     """``content``, ``window`` (digest of its words), ``first``, for the paths in ``runs``."""
 
@@ -113,7 +91,7 @@ def window_rows(texts: DataFrame, width: int) -> DataFrame:
 
         for batch in slices(batches, "packed", 1 << 20):
             contents, windows, firsts = [], [], []
-            for content, text, runs in zip(batch.column("content").to_pylist(), unpacked(batch.column("packed")), batch.column("runs").to_pylist()):
+            for content, text, runs in zip(batch.column("content").to_pylist(), unpacked(batch.column("packed").to_pylist()), batch.column("runs").to_pylist()):
                 source = Source(text)
                 for run in runs:
                     for first in range(run["first"], run["first"] + run["windows"]):
@@ -168,7 +146,7 @@ def kept_words(texts: DataFrame, width: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", 1 << 20):
             n_words, n_removed, bodies = [], [], []
-            for text, runs in zip(unpacked(batch.column("packed")), batch.column("runs").to_pylist()):
+            for text, runs in zip(unpacked(batch.column("packed").to_pylist()), batch.column("runs").to_pylist()):
                 words = words_of(text)
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
                 for run in runs or ():
