@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import slices
 
 #: Lower-cases A-Z and turns each ASCII character that is no word character into a
 #: space; bytes beyond ASCII are word characters.
@@ -72,6 +72,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    with_row: bool = False,
 ) -> DataFrame:
     """Occurrences of benchmark windows in documents; one row per input row.
 
@@ -83,7 +84,8 @@ def contamination(
 
     Columns: ``id``, ``n_words``, ``items`` (sorted ids with occurring windows),
     ``spans`` (hit words as [first, end) word numbers and the same as [begin, stop)
-    code points of the original text).
+    code points of the original text); and ``row``, all input columns as a struct, if
+    ``with_row``.
 
     Defined results: null or wordless texts have no words and no hits; null or
     wordless items have no windows; a null item id counts as the empty text, and
@@ -92,15 +94,22 @@ def contamination(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     span = "struct<first:bigint,end:bigint,begin:bigint,stop:bigint>"
-    rows = id_and_text(docs, id_col, text_col).select(
-        "id", "body", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast(f"array<{span}>").alias("spans")
+    row = [F.struct(*(docs[x] for x in docs.columns)).alias("row")] * with_row
+    rows = docs.select(
+        docs[id_col].alias("id"),
+        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"),
+        F.lit(0).cast("bigint").alias("n_words"),
+        F.array().cast("array<string>").alias("items"),
+        F.array().cast(f"array<{span}>").alias("spans"),
+        *row,
     )
     total = items.agg(F.coalesce(F.sum(F.octet_length(items[item_text_col])), F.lit(0)).alias("n")).first()["n"]
     blocks = total // block_bytes + 1  # on the driver one at a time
     for block in range(blocks):
-        kept = ["id", "n_words", "items", "spans"] + ["body"] * (block + 1 < blocks)
+        kept = ["id", "n_words", "items", "spans"] + ["row"] * with_row + ["body"] * (block + 1 < blocks)
         scan = scanner(item_block(items, item_col, item_text_col, block, blocks), width, kept)
         kinds = {"id": kind, "n_words": "bigint", "items": "array<string>", "spans": f"array<{span}>", "body": "string"}
+        kinds |= {"row": rows.schema["row"].dataType.simpleString()} if with_row else {}
         rows = rows.mapInArrow(scan, ", ".join(f"{x} {kinds[x]}" for x in kept))
     return rows
 

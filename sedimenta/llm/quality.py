@@ -162,19 +162,23 @@ def train(
     return fit(matrix[kinds == 1], matrix[kinds == 0])
 
 
-def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """Columns ``id``, ``held_out``, ``score``; one row per input row, in one pass.
+    With ``with_row`` also ``row``, all input columns as a struct.
 
     Defined results: null and empty texts have all-zero features and the score the
     model gives those. A null id is not held out. Repeated rows and ties pass row by
     row; an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kept = ["id"] + ["row"] * with_row
+    row = [F.struct(*(docs[x] for x in docs.columns)).alias("row")] * with_row
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"), *row)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
-            values = model.scores(np.stack([features(text) for text in batch.column("body").to_pylist()])) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, pa.float64())], ["id", "score"])
+            values = model.scores(np.stack([features(text) for text in batch.column("body").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(values, pa.float64())], [*kept, "score"])
 
-    scored = id_and_text(docs, id_col, text_col).mapInArrow(score, f"id {kind}, score double")
-    return scored.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score")
+    fields = ", ".join(f"{x} {rows.schema[x].dataType.simpleString()}" for x in kept)
+    scored = rows.mapInArrow(score, f"{fields}, score double")
+    return scored.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", *kept[1:])
