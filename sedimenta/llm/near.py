@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import LOWER, UPPER, id_and_text, slices
+from .common import LOWER, UPPER, id_and_text, packed, slices, unpacked
 from .components import components
 
 #: 32 bands of 4 hashes: a pair at similarity 0.8 shares no band once in 20 million.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Hashes compared between two prunings, and members of a bucket in one block.
+#: Hashes compared between two prunings, and documents in one block.
 BATCH, BLOCK = 16, 256
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(sign, f"id {kind}, n bigint, content binary, signature binary")
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
+def as_hashes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
@@ -123,29 +123,27 @@ def pruned(pairs: DataFrame, classes: DataFrame, least: np.ndarray, per_cent: in
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "s_a"):
-            keep = pa.array(surviving(unpacked(batch.column("s_a")), unpacked(batch.column("s_b")), least))
+            keep = pa.array(surviving(as_hashes(batch.column("s_a")), as_hashes(batch.column("s_b")), least))
             yield pa.RecordBatch.from_arrays([batch.column(x).take(keep) for x in "ab"], ["a", "b"])
 
     return both.mapInArrow(prune, f"a {kind}, b {kind}")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Pairs whose full shingle sets are similar enough, compared as words."""
     kind = pairs.schema["a"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("t_a")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("body").alias("t_b")), "b")
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("t_a")), "a")
+    both = both.join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("t_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, tuple[int, set]] = {}
 
-        def known(side: str, key: int, text: str) -> set:
+        def known(side: str, key: int, blob: bytes) -> set:
             if side not in last or last[side][0] != key:
-                last[side] = key, shingles(text, width)
+                last[side] = key, shingles(next(unpacked([blob])), width)
             return last[side][1]
 
-        for batch in slices(batches, "t_a"):
+        for batch in slices(batches, "t_a", 1 << 20):
             keep = []
             for at, (a, b, t_a, t_b) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("a", "b", "t_a", "t_b")))):
                 one, two = known("a", a, t_a), known("b", b, t_b)
@@ -158,36 +156,70 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> Da
     return both.select("a", "b", "t_a", "t_b").mapInArrow(verify, f"a {kind}, b {kind}")
 
 
-def open_pairs(members: DataFrame, classes: DataFrame, least: np.ndarray, per_cent: int) -> DataFrame:
-    """Pairs of one bucket but different components that signatures allow.
+def blocks_of_hubs(labelled: DataFrame) -> DataFrame:
+    """Groups in which members of different components that share a bucket meet.
 
-    A bucket is cut into blocks of bounded size, and each pair of blocks is one group;
-    pairs are compared inside the task and only survivors are written.
+    A bucket's hub is the component with most members there. All members of all buckets
+    of one hub form one set, so a document is there once and not once a band; it is cut
+    into blocks of bounded size, hub members first. Rows are dealt to every pair of
+    blocks but those of hub members alone: ``hub``, ``low``, ``high``, ``rep``,
+    ``component``, ``block``.
     """
-    kind = classes.schema["rep"].dataType.simpleString()
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = members.join(classes, "rep").withColumns({"block": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "n", "signature")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sets = group["signature"].map(lambda x: np.frombuffer(x, dtype=np.uint32))
-        signs, sizes, labels = np.stack(sets.to_numpy()), group["n"].to_numpy(), group["component"].to_numpy()
-        reps, block = group["rep"].to_numpy(), group["block"].to_numpy()
-        same = block.min() == block.max()
-        a, b = [], []
-        for at in range(len(group)):
-            fits = (labels != labels[at]) & (np.minimum(sizes, sizes[at]) * 100 >= np.maximum(sizes, sizes[at]) * per_cent)
-            fits &= np.arange(len(group)) > at if same else block > block[at]
-            others = np.flatnonzero(fits)
-            if len(others):
-                alive = others[surviving(np.broadcast_to(signs[at], (len(others), HASHES)), signs[others], least)]
-                a.append(np.minimum(reps[at], reps[alive]))
-                b.append(np.maximum(reps[at], reps[alive]))
-        empty = np.zeros(0, dtype=reps.dtype)
-        return pd.DataFrame({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
-
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    sizes = labelled.groupBy("key", "component").count()
+    best = F.min(F.struct((-F.col("count")).alias("n"), F.col("component").alias("hub"))).alias("best")
+    hubs = sizes.groupBy("key").agg(best, F.count(F.lit(1)).alias("components")).where("components > 1")
+    rows = labelled.join(hubs.select("key", F.col("best.hub").alias("hub")), "key").select("hub", "rep", "component").distinct()
+    inside = (F.col("component") == F.col("hub")).cast("int")
+    counts = rows.groupBy("hub").agg(F.sum(inside).alias("inner"), F.sum(1 - inside).alias("outer"))
+    rows = rows.join(counts.select("hub", *(F.ceil(F.col(x) / BLOCK).cast("int").alias(x) for x in ("inner", "outer"))), "hub")
+    mixed = F.xxhash64("rep")
+    block = F.when(inside == 1, F.pmod(mixed, "inner")).otherwise(F.col("inner") + F.pmod(mixed, "outer")).cast("int")
+    others = F.explode(F.sequence(F.when(inside == 1, F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1))
+    dealt = rows.select("hub", "rep", "component", block.alias("block"), others.alias("other"))
+    return dealt.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
+
+
+def compared(group: pd.DataFrame, least: np.ndarray, width: int, per_cent: int) -> pd.DataFrame:
+    """Links between components within one pair of blocks.
+
+    Pairs that share a band are pruned by size and signature, then by the overlap of
+    hashed sets; what is left is verified on the words. Components that a link has
+    joined are not compared again.
+    """
+    group = group.sort_values(["block", "rep"], ignore_index=True)
+    signs = np.stack([np.frombuffer(x, dtype=np.uint32) for x in group["signature"]])
+    bands = signs.view(np.uint64).reshape(len(group), BANDS, -1)
+    sizes, reps, block = (group[x].to_numpy() for x in ("n", "rep", "block"))
+    bodies = list(unpacked(group["packed"]))
+    labels = group["component"].to_numpy().copy()
+    sets: dict[int, np.ndarray] = {}
+
+    def hashed(at: int) -> np.ndarray:
+        if at not in sets:
+            sets[at] = shingle_hashes(bodies[at], width)
+        return sets[at]
+
+    links = []
+    one_block = block.min() == block.max()
+    for at in range(len(group)):
+        fits = (labels != labels[at]) & (np.minimum(sizes, sizes[at]) * 100 >= np.maximum(sizes, sizes[at]) * per_cent)
+        fits &= np.arange(len(group)) > at if one_block else block > block[at]
+        others = np.flatnonzero(fits)
+        others = others[(bands[others] == bands[at]).all(axis=2).any(axis=1)] if len(others) else others
+        for other in others[surviving(np.broadcast_to(signs[at], (len(others), HASHES)), signs[others], least)]:
+            if labels[other] == labels[at]:
+                continue
+            one, two = hashed(at), hashed(other)
+            near = np.minimum(np.searchsorted(two, one), len(two) - 1)
+            common = int((two[near] == one).sum())
+            if 100 * common < per_cent * (len(one) + len(two) - common):
+                continue
+            one, two = shingles(bodies[at], width), shingles(bodies[other], width)
+            common = len(one & two)
+            if 100 * common >= per_cent * (len(one) + len(two) - common):
+                links.append((min(reps[at], reps[other]), max(reps[at], reps[other])))
+                labels[labels == labels[other]] = labels[at]
+    return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]})
 
 
 def near_duplicates(
@@ -204,8 +236,8 @@ def near_duplicates(
     No bucket emits all its pairs. First each member meets the bucket's centre, the
     member with most company in all its buckets, which joins nearly every true group.
     Then only members of different components that still share a bucket are compared,
-    in blocks, with survivors alone leaving the task; that makes the components those
-    of all candidate pairs.
+    in blocks of bounded size and verified there, with links alone leaving the task;
+    that makes the components those of all candidate pairs.
 
     Columns: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``
     (id = component_id).
@@ -231,16 +263,19 @@ def near_duplicates(
     star = members.join(centre.select("key", F.col("best.rep").alias("centre")), "key").where("rep != centre")
     pairs = star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     least = least_matches(per_cent / 100, miss)
-    texts = rows.where(F.col("id").isNotNull())
+    met = members.select("rep").distinct()
+    texts = packed(rows).withColumnRenamed("id", "rep").join(met, "rep", "left_semi").dropDuplicates(["rep"])
+    texts = stage(texts, "near-texts")
     links = stage(verified(pruned(pairs, classes, least, per_cent), texts, width, per_cent), "near-links")
 
     label = components(links)
     lone = F.coalesce("component", "rep").alias("component")
-    labelled = members.where("members > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "members", lone)
-    labelled = stage(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = open_pairs(labelled.join(mixed, "key"), classes.drop("content"), least, per_cent)
-    more = verified(stage(rest, "near-open"), texts, width, per_cent)
+    labelled = members.where("members > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", lone)
+    dealt = stage(blocks_of_hubs(stage(labelled, "near-labelled")), "near-blocks")
+    sides = dealt.join(classes.select("rep", "n", "signature"), "rep").join(texts, "rep")
+    kind = classes.schema["rep"].dataType.simpleString()
+    blocks = sides.groupBy("hub", "low", "high")
+    more = stage(blocks.applyInPandas(lambda group: compared(group, least, width, per_cent), f"a {kind}, b {kind}"), "near-more")
 
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep")
     named_class = classes.select("content", "rep").join(final, "rep", "left").select("content", F.coalesce("component", "rep").alias("component"))
@@ -248,3 +283,12 @@ def near_duplicates(
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document is the kept one of its component.
+
+    Rows without id stay. Rows that repeat a kept id stay with it.
+    """
+    kept = near_duplicates(docs, width, per_cent, id_col=id_col, text_col=text_col).where("kept").select(F.col("id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
