@@ -36,12 +36,17 @@ def version_token(branch: Column) -> Column:
 
 
 def release_date(text: Column) -> Column:
-    """Timestamp of a release; text without a zone is read as UTC (session zone)."""
-    return F.try_to_timestamp(text)
+    """Timestamp of a release; text without a zone is UTC, whatever the session's zone."""
+    trimmed = F.trim(text)
+    day = trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
+    clock = trimmed.rlike(r"\d:\d{2}(:\d{2}(\.\d+)?)?$") & ~trimmed.rlike(r"[+-]\d{1,2}:\d{2}$")
+    zoned = F.when(day, F.concat(trimmed, F.lit(" 00:00:00Z"))).when(clock, F.concat(trimmed, F.lit("Z")))
+    return F.try_to_timestamp(F.coalesce(zoned, trimmed))
 
 
 def date_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ssXXX")
+    """UTC text of a timestamp, whatever the session's zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), F.lit("Z"))
 
 
 def relative_path(path: Column, root: Column) -> Column:

@@ -75,7 +75,7 @@ def empty_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.where(F.col("branches").isNull() | (F.size("branches") == 0)).select("repository")
 
 
-def resolve_targets(snapshots: DataFrame, release_targets: DataFrame, version_only: bool = False) -> DataFrame:
+def resolve_targets(snapshots: DataFrame, release_targets: DataFrame, version_only: bool = True) -> DataFrame:
     """Root directory, name and date of every branch of every snapshot.
 
     On hosts that keep release objects a version branch points to a release,
@@ -185,12 +185,32 @@ def release_pairs(releases: DataFrame, order_by: str = "release_seq") -> DataFra
     )
 
 
-def present_releases(pairs: DataFrame, releases_present: DataFrame, require_next: bool = True) -> DataFrame:
-    """Pairs whose sources exist.
+def initial_releases(
+    releases: DataFrame, pairs: DataFrame, releases_present: DataFrame, emit_single: bool = False
+) -> DataFrame:
+    """The first release of each repository that has a next one, if its sources exist.
 
-    ``require_next=False`` checks the previous release only: all its files then
-    count as removed when the next one is missing.
+    ``pairs`` are all pairs, before any is left out for missing sources. With
+    ``emit_single`` a repository's only release counts as well.
     """
+    first = pairs.where("release_idx = 0").select(
+        F.col("prev_repository").alias("repository"),
+        "repository_name",
+        F.col("prev_branch").alias("branch"),
+        F.col("prev_date").alias("date"),
+    )
+    if emit_single:
+        payload = F.struct("repository", "branch", "date")
+        alone = releases.groupBy("repository_name").agg(F.count("*").alias("n"), F.min_by(payload, "release_seq").alias("r"))
+        alone = alone.where("n = 1").select("r.repository", "repository_name", "r.branch", "r.date")
+        first = first.unionByName(alone)
+    present = releases_present.select("repository_name", "branch").distinct()
+    return first.join(present, ["repository_name", "branch"], "left_semi")
+
+
+def present_releases(pairs: DataFrame, releases_present: DataFrame, require_next: bool = False) -> DataFrame:
+    """Pairs whose previous release has sources: without those of the next one all its
+    files count as removed. ``require_next=True`` asks for both."""
     present = releases_present.select("repository_name", "branch").distinct()
     previous = present.withColumnRenamed("branch", "prev_branch")
     kept = pairs.join(previous, ["repository_name", "prev_branch"], "left_semi")

@@ -223,14 +223,8 @@ def file_diff(compared: DataFrame, renamed: DataFrame, unmatched: DataFrame) ->
     return exact.unionByName(moved).unionByName(lone)
 
 
-def initial_files(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of the first release of each repository that has a next one."""
-    first = pairs.where("release_idx = 0").select(
-        F.col("prev_repository").alias("repository"),
-        "repository_name",
-        F.col("prev_branch").alias("branch"),
-        F.col("prev_date").alias("date"),
-    )
+def initial_files(first: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of the first release of each repository."""
     return first.join(files, ["repository_name", "branch"])
 
 

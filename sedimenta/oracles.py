@@ -450,6 +450,11 @@ QUALIFY row_number() OVER (PARTITION BY repository_name, branch, name ORDER BY l
         "SELECT class, name, params, 1::BIGINT AS n_ids, count(DISTINCT path) AS n_file_ids, count(*) AS n_methods "
         "FROM m GROUP BY ALL"
     )
+    counts = "count(DISTINCT unit) AS n_units, count(DISTINCT unit) AS n_ids, count(DISTINCT unit) AS n_pairs"
+    sql["unit_ids_apart"] = _with(_METHODS) + f"""
+SELECT 'method' AS kind, {counts} FROM (SELECT {{'c': coalesce(class, '-'), 'n': name, 'p': params}} AS unit FROM m)
+UNION ALL SELECT 'file', {counts} FROM (SELECT path AS unit FROM m)
+UNION ALL SELECT 'call', {counts} FROM (SELECT {{'e': expression, 's': start_offset}} AS unit FROM c)"""
     sql["method_lines"] = _with(_DOCUMENTS, _LINES) + "SELECT doc_id, line_number, text FROM lines"
     quoted = f"contains(line, {_QUOTES}) OR contains(line, {_APOSTROPHES})"
     sql["strip_comments"] = _with(_DOCUMENTS, _LINES) + f"""
@@ -576,6 +581,15 @@ UNION ALL SELECT {_FP}, NULL, 'added', false FROM ln ANTI JOIN renamed USING ({_
 
     # change records and statistics
     sql["change_records"] = _with(*whole, _CALLS, _records(True), recursive=True) + _RECORD_ROWS
+    gone = "(year(l_shipdate) + l_suppkey) % 3 = 0"
+    thinned = _METHODS.replace("ON l_partkey = p_partkey)", f"ON l_partkey = p_partkey WHERE NOT ({gone}))", 1)
+    there = _HISTORY_RELEASES.replace("pairs AS (", "all_pairs AS (", 1) + """,
+pairs AS (
+  SELECT * FROM all_pairs
+  WHERE (right(prev_branch, 4)::INT + split_part(repository_name, '-', 2)::INT) % 3 != 0)"""
+    for name, releases in (("missing_next", there), ("empty_release", _HISTORY_RELEASES)):
+        parts = [releases, thinned, _FILES, _renames(), _MAPPED_FILES, _ALIGN, _SCORED, _CALLS, _records(True)]
+        sql[f"change_records_{name}"] = _with(*parts, recursive=True) + _RECORD_ROWS
     sql["change_records_three_rows"] = _with(*whole, _CALLS, _records(False), recursive=True) + _RECORD_ROWS
     sql["change_status"] = _with(*with_renames, _MAPPED_FILES, _FILE_STATUS, recursive=True) + (
         "SELECT repository_name, branch, path, status AS file_status FROM fs"
@@ -600,9 +614,7 @@ UNION ALL SELECT repository_name, branch, release_no, 'n_files_unchanged', n_fil
     sql["releases_per_repo"] = per_repo
     sql["files_per_release"] = _with(_METHODS) + "SELECT repository_name, branch, count(*) AS n FROM files GROUP BY ALL"
     sql["hist_releases_per_repo"] = _histogram(per_repo, 4)
-    per_release = (
-        "SELECT n FROM (SELECT l_suppkey, year(l_shipdate) AS y, count(*) AS n FROM lineitem GROUP BY ALL) "
-        "WHERE n BETWEEN 0 AND 2000"
-    )
-    sql["hist_files_per_release"] = _histogram(per_release, 40)
+    per_release = "SELECT count(*) AS n FROM files GROUP BY repository_name, branch"
+    sql["hist_files_per_release"] = _with(_METHODS) + _histogram(per_release, 4)
+    sql["hist_files_shown"] = _with(_METHODS) + f"SELECT * FROM ({_histogram(per_release, 4)}) WHERE hi > 40 AND lo <= 50"
     return sql

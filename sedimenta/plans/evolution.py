@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators import files as file_ops
-from sedimenta.operators.catalog import present_releases, release_pairs
+from sedimenta.operators.catalog import initial_releases, present_releases, release_pairs
 from sedimenta.operators.records import file_diff, initial_files, nest_records
 from sedimenta.operators.renames import match_renamed
 from sedimenta.operators.units import extract_units, file_versions, with_units
@@ -51,7 +51,9 @@ def change_records(
     source_files: DataFrame,
     *,
     order_by: str = "release_seq",
-    require_next: bool = True,
+    present: DataFrame | None = None,
+    require_next: bool = False,
+    emit_single: bool = False,
     exact_first: bool = True,
     tie_self: bool = False,
     signature_change_exclusive: bool = True,
@@ -61,6 +63,13 @@ def change_records(
 
     ``releases``: repository, repository_name, branch (slug), date, release_seq.
     ``source_files``: repository_name, branch, path, content.
+    ``present``: repository_name, branch of the releases whose sources exist; by default
+    those with any file, Python or not. A release without Python files is present.
+
+    The first release of a repository is listed in full if it is present, whatever
+    became of the next one; ``emit_single`` also lists a repository's only release.
+    A present release whose next one is absent loses all its files to it, unless
+    ``require_next`` asks for both.
 
     Parsed units and the light file tables are written to the shared folder, since
     later steps read them several times; texts are read from the source once for
@@ -69,7 +78,10 @@ def change_records(
     python = source_files.where(F.col("path").endswith(".py"))
     files = stage(file_versions(python), "files")
     units = stage(extract_units(python, byte_offsets), "units")
-    present = files.select("repository_name", "branch").distinct()
-    pairs = stage(present_releases(release_pairs(releases, order_by), present, require_next), "pairs")
+    present = source_files if present is None else present
+    present = stage(present.select("repository_name", "branch").distinct(), "present")
+    paired = stage(release_pairs(releases, order_by), "paired")
+    first = initial_releases(releases, paired, present, emit_single)
+    pairs = stage(present_releases(paired, present, require_next), "pairs")
     diffs = stage(release_diffs(pairs, files, units, exact_first, tie_self), "diffs")
-    return nest_records(diffs, initial_files(pairs, files), pairs, units, signature_change_exclusive)
+    return nest_records(diffs, initial_files(first, files), pairs, units, signature_change_exclusive)

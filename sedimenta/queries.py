@@ -208,6 +208,29 @@ def unit_ids(spark, sf):
     )
 
 
+@register
+def unit_ids_apart(spark, sf):
+    """Identities, ids and pairs of both: equal numbers unless an id says too little or too much."""
+    methods = h.history_methods(spark, sf)
+    call = "calls.expression", "calls.start_offset", "calls.end_offset"
+    calls = methods.select(F.explode("calls").alias("calls"))
+
+    def counts(rows: DataFrame, kind: str, unit: Column, own: Column) -> DataFrame:
+        found = rows.select(unit.alias("unit"), own.alias("own")).distinct()
+        return found.agg(
+            F.lit(kind).alias("kind"), F.count_distinct("unit").alias("n_units"),
+            F.count_distinct("own").alias("n_ids"), F.count("*").alias("n_pairs"),
+        )
+
+    method = F.struct(F.coalesce("class", F.lit("-")), "name", "params")
+    method_id = ids.method_id(F.col("class"), F.col("name"), F.col("params"))
+    return (
+        counts(methods, "method", method, method_id)
+        .unionByName(counts(methods, "file", F.col("path"), ids.file_id(F.col("path"))))
+        .unionByName(counts(calls, "call", F.struct(*call), ids.call_id(*map(F.col, call))))
+    )
+
+
 @register
 def method_lines(spark, sf):
     rows = h.document_lines(spark, sf).select("doc_id", F.inline(text.numbered_lines(F.col("content"))))
@@ -364,7 +387,7 @@ def empty_snapshots(spark, sf):
 
 @register
 def resolve_targets(spark, sf):
-    return catalog_ops.resolve_targets(*h.orders_snapshots(spark, sf))
+    return catalog_ops.resolve_targets(*h.orders_snapshots(spark, sf), version_only=False)
 
 
 @register
@@ -394,7 +417,7 @@ def present_releases(spark, sf):
     """Sources are present where a supplier shipped more than 70 items in the year."""
     counts = h.history_methods(spark, sf).groupBy("repository_name", "branch").count()
     pairs = h.history_pairs(spark, sf)
-    both = catalog_ops.present_releases(pairs, counts.where("count > 70"))
+    both = catalog_ops.present_releases(pairs, counts.where("count > 70"), require_next=True)
     first = catalog_ops.present_releases(pairs, counts.where("count > 70"), require_next=False)
     return both.select(*PAIR, F.lit("both").alias("rule")).unionByName(
         first.select(*PAIR, F.lit("previous").alias("rule"))
@@ -576,6 +599,29 @@ def change_records(spark, sf):
     return digested(build_changes(spark, sf))
 
 
+def _thinned(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The sources without every third release of a supplier, and those releases."""
+    sources = landed_sources(spark, sf)
+    number = F.substring("branch", -4, 4).cast("int") + F.substring_index("repository_name", "-", -1).cast("int")
+    return sources.where(number % 3 != 0), sources.where(number % 3 == 0).select("repository_name", "branch").distinct()
+
+
+@register
+def change_records_missing_next(spark, sf):
+    """Some releases were never downloaded: the one before loses all its files."""
+    releases = catalog_ops.name_releases(h.history_releases(spark, sf))
+    return digested(build_change_records(releases, _thinned(spark, sf)[0]))
+
+
+@register
+def change_records_empty_release(spark, sf):
+    """The same releases exist but hold no Python file."""
+    releases = catalog_ops.name_releases(h.history_releases(spark, sf))
+    sources, bare = _thinned(spark, sf)
+    rows = bare.withColumns({"path": F.lit("requirements.txt"), "content": F.lit("numpy")})
+    return digested(build_change_records(releases, sources.unionByName(rows)))
+
+
 @register
 def change_records_three_rows(spark, sf):
     """Signature changes also listed as removed and added."""
@@ -651,5 +697,11 @@ def hist_releases_per_repo(spark, sf):
 
 @register
 def hist_files_per_release(spark, sf):
-    counts = stats.files_per_release(h.history_methods(spark, sf).select(*FILE))
-    return _long(stats.histogram(stats.clip(counts, "n"), "n", 40), "bin")
+    counts = stats.files_per_release(h.history_methods(spark, sf).select(*FILE).distinct())
+    return _long(stats.histogram(counts, "n", 4), "bin")
+
+
+@register
+def hist_files_shown(spark, sf):
+    """Finished bins within the range that a plot shows."""
+    return stats.clip(hist_files_per_release(spark, sf), 40, 50)

@@ -17,6 +17,8 @@ _LINE = (
     r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[A-Za-z0-9._,\s-]*\])?"
     rf"\s*(\(?\s*(?:{_SPEC}(?:\s*,\s*{_SPEC})*)?\s*,?\s*\)?)\s*(?:;.*)?(?:\s#.*)?$"
 )
+# A direct reference: a name, optional extras, and where the package lies.
+_REFERENCE = r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[A-Za-z0-9._,\s-]*\])?\s*@\s*\S+"
 _OPERATOR = r"^(===|==|~=|!=|<=|>=|<|>)"
 
 
@@ -31,7 +33,8 @@ def parse_requirements(lines: DataFrame) -> DataFrame:
     """One row per (release, requirement): name, specs array<struct<op, version>>.
 
     Blank and comment lines are skipped, and so are lines in no known form. A
-    location keeps its whole line as the name. The last line of a name wins.
+    location keeps its whole line as the name; ``name @ url`` has a name and no specs.
+    The last line of a name wins.
     """
     text = strip(F.col("line"))
     rows = lines.withColumn("text", text).where((F.col("text") != "") & ~F.col("text").startswith("#"))
@@ -48,8 +51,10 @@ def parse_requirements(lines: DataFrame) -> DataFrame:
     )
     parsed = rows.withColumns(
         {
-            "name": F.when(location, F.col("text")).otherwise(F.regexp_extract("text", _LINE, 1)),
-            "specs": F.when(location, F.slice(specs, 1, 0)).otherwise(specs),
+            "name": F.when(location, F.col("text"))
+            .when(F.col("text").rlike(_REFERENCE), F.regexp_extract("text", _REFERENCE, 1))
+            .otherwise(F.regexp_extract("text", _LINE, 1)),
+            "specs": F.when(location | F.col("text").rlike(_REFERENCE), F.slice(specs, 1, 0)).otherwise(specs),
         }
     ).where("name != ''")
     return parsed.groupBy("repository_name", "branch", "name").agg(

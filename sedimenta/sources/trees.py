@@ -9,6 +9,7 @@ and read through pyarrow's file systems instead.
 from __future__ import annotations
 
 import tarfile
+import zlib
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
@@ -31,6 +32,8 @@ _LISTED = pa.schema(
     [("repository_name", pa.string()), ("branch", pa.string()), ("path", pa.string()), ("uri", pa.string())]
 )
 _RAW_DDL = "repository_name string, branch string, path string, raw binary"
+_PACKED = pa.schema([*_RAW, ("status", pa.string())])
+_PACKED_DDL = _RAW_DDL + ", status string"
 _LISTED_DDL = "repository_name string, branch string, path string, uri string"
 
 
@@ -119,40 +122,65 @@ def _expand(root: str, archive_name: str):
         def members(release: dict) -> Iterator[tuple]:
             path = f"{base}/{release['repository_name']}/{release['branch']}/{archive_name}"
             if filesystem.get_file_info(path).type != fs.FileType.File:
-                return
+                raise FileNotFoundError(path)
             with filesystem.open_input_stream(path, compression=None) as stream:
                 # "r|*" streams the archive: one member in memory at a time.
                 with tarfile.open(fileobj=stream, mode="r|*") as archive:
                     for member in archive:
                         _, _, inner = member.name.removeprefix("./").partition("/")
                         name = inner.rsplit("/", 1)[-1]
-                        if member.isfile() and any(fnmatchcase(name, p) for p in KEPT_MEMBERS):
+                        if member.isfile() and _visible(inner) and any(fnmatchcase(name, p) for p in KEPT_MEMBERS):
                             raw = archive.extractfile(member).read()
-                            yield release["repository_name"], release["branch"], inner, raw
+                            yield release["repository_name"], release["branch"], inner, raw, None
 
         def rows() -> Iterator[tuple]:
             for release in _records(batches):
+                key = release["repository_name"], release["branch"]
+                status = "complete"
                 try:
                     yield from members(release)
-                except (tarfile.ReadError, EOFError):
-                    continue  # an empty or broken archive has no (further) members
+                except FileNotFoundError:
+                    status = "absent"
+                except (tarfile.ReadError, EOFError, zlib.error, OSError):
+                    status = "truncated"
+                yield *key, None, None, status
 
-        yield from _batches(rows(), _RAW)
+        yield from _batches(rows(), _PACKED)
 
     return run
 
 
-def expand_archives(
+def archive_rows(
     releases: DataFrame, root: str, archive_name: str = "data.tar.gz", extracted: DataFrame | None = None
 ) -> DataFrame:
-    """Python and requirements members of each release's archive.
-
-    The first path component is stripped. Compressed and plain archives are told
-    apart by content. Releases listed in ``extracted`` are skipped.
+    """Kept members of each release's archive, and a last row with the archive's status.
+
+    Columns repository_name, branch, path, content, status. A member has no status; the
+    last row of a release has no path and says ``complete``, ``truncated`` (empty or
+    broken: members up to the break are here) or ``absent``. The first path component
+    is stripped; hidden files and folders are skipped, as in source trees. Compressed
+    and plain archives are told apart by content. Releases listed in ``extracted`` are
+    skipped. Each archive is read once: stage the result to use both parts.
     """
     todo = releases.select("repository_name", "branch").distinct()
     if extracted is not None:
         todo = todo.join(extracted.select("repository_name", "branch"), ["repository_name", "branch"], "left_anti")
     todo = spread(todo, "repository_name", "branch")
-    files = todo.mapInArrow(_expand(root, archive_name), _RAW_DDL)
-    return files.select("repository_name", "branch", "path", decoded(F.col("raw")).alias("content"))
+    rows = todo.mapInArrow(_expand(root, archive_name), _PACKED_DDL)
+    return rows.select("repository_name", "branch", "path", decoded(F.col("raw")).alias("content"), "status")
+
+
+def archive_status(rows: DataFrame) -> DataFrame:
+    """One row per release of ``archive_rows``: repository_name, branch, status."""
+    return rows.where("status is not null").select("repository_name", "branch", "status")
+
+
+def expand_archives(
+    releases: DataFrame, root: str, archive_name: str = "data.tar.gz", extracted: DataFrame | None = None
+) -> DataFrame:
+    """The files alone of ``archive_rows``: repository_name, branch, path, content.
+
+    A broken archive gives its members up to the break; ``archive_status`` tells.
+    """
+    rows = archive_rows(releases, root, archive_name, extracted)
+    return rows.where("status is null").drop("status")

@@ -47,7 +47,7 @@ def test_junk_is_dropped_and_versions_are_deduplicated(spark):
         (G, None, None), (G, "None", "None"), (G, "refs/heads/v1.0", "d"), (G, "refs/heads/main", "d"),
         (G, "refs/heads/dev", "d"), ("other/x", "refs/heads/main", "d"),
     ]
-    kept = cleaned_catalog(releases(spark, rows)).orderBy("release_seq").collect()
+    kept = cleaned_catalog(releases(spark, rows), version_only=False).orderBy("release_seq").collect()
     assert [(r.release_seq, r.version) for r in kept] == [(0, "v1.0"), (6, None), (8, None)]
     flags = ops.flag_duplicated_versions(ops.clean_catalog(releases(spark, rows))).collect()
     assert {r.release_seq for r in flags if r.duplicated} == {0, 5, 6, 7}
@@ -74,7 +74,7 @@ def test_present_releases(spark):
     rows = [(G, f"refs/tags/v{i}.0", "2020-01-01") for i in range(4)]
     pairs = ops.release_pairs(ops.name_releases(releases(spark, rows)))
     present = spark.createDataFrame([("b", "refs-tags-v0.0"), ("b", "refs-tags-v1.0"), ("b", "refs-tags-v3.0")], "repository_name string, branch string")
-    assert [p.branch for p in ops.present_releases(pairs, present).collect()] == ["refs-tags-v1.0"]
+    assert [p.branch for p in ops.present_releases(pairs, present, require_next=True).collect()] == ["refs-tags-v1.0"]
     first_only = ops.present_releases(pairs, present, require_next=False).collect()
     assert {p.branch for p in first_only} == {"refs-tags-v1.0", "refs-tags-v2.0"}
     pending = ops.pending_downloads(ops.name_releases(releases(spark, rows)), present).collect()
@@ -97,7 +97,7 @@ def test_targets(spark):
         ],
         RELEASE_TARGETS,
     )
-    found = {(r.repository, r.branch): (r.root, r["name"], r.date) for r in ops.resolve_targets(snapshots, targets).collect()}
+    found = {(r.repository, r.branch): (r.root, r["name"], r.date) for r in ops.resolve_targets(snapshots, targets, version_only=False).collect()}
     assert found == {
         (G, "refs/tags/v1.0"): ("t5", "five", "d5"),
         (G, "refs/heads/main"): ("dir2", "None", "None"),

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from sedimenta.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = (
@@ -24,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, DATA)
     result = duck.execute(contract.oracle_sql()[name])

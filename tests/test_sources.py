@@ -4,7 +4,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from sedimenta.sources import requirements as req
-from sedimenta.sources.trees import expand_archives, read_source_tree
+from sedimenta.sources.trees import archive_rows, archive_status, expand_archives, read_source_tree
 
 RELEASES = "repository_name string, branch string"
 
@@ -42,7 +42,7 @@ def archive(path, members, mode):
 def test_archives(spark, tmp_path):
     members = {
         "b-1/setup.py": b"s", "b-1/pkg/__init__.py": b"i\r\n", "b-1/requirements-dev.txt": b"r",
-        "b-1/docs/readme.md": b"no", "top.py": b"no",
+        "b-1/docs/readme.md": b"no", "top.py": b"no", "b-1/.github/x.py": b"no",
     }
     archive(tmp_path / "b" / "v1" / "data.tar.gz", members, "w:gz")
     archive(tmp_path / "b" / "v2" / "data.tar.gz", {"./b-2/a.py": b"2"}, "w")
@@ -57,11 +57,28 @@ def test_archives(spark, tmp_path):
     }
 
 
+def test_archive_status(spark, tmp_path):
+    members = {f"b-1/m{i}.py": bytes(range(256)) * 40 for i in range(30)}
+    archive(tmp_path / "b" / "v1" / "data.tar.gz", members, "w:gz")
+    archive(tmp_path / "b" / "v2" / "data.tar.gz", members, "w")
+    whole = (tmp_path / "b" / "v2" / "data.tar.gz").read_bytes()
+    for name, raw in (("v3", whole[: len(whole) // 2]), ("v4", b"")):
+        (tmp_path / "b" / name).mkdir()
+        (tmp_path / "b" / name / "data.tar.gz").write_bytes(raw)
+    releases = spark.createDataFrame([("b", f"v{i}") for i in range(1, 6)], RELEASES)
+    rows = archive_rows(releases, tmp_path.as_uri()).cache()
+    assert {r.branch: r.status for r in archive_status(rows).collect()} == {
+        "v1": "complete", "v2": "complete", "v3": "truncated", "v4": "truncated", "v5": "absent"
+    }
+    files = {r.branch: r["count"] for r in rows.where("status is null").groupBy("branch").count().collect()}
+    assert files["v1"] == files["v2"] == 30 and 10 < files["v3"] < 30 and "v4" not in files
+
+
 def test_requirements(spark):
     text = "\n".join(
         [
             "a", "b==1", "c>=1,<2 ; python_version < '3'", "# note", "", "git+https://h/x", "./local", "-r other.txt",
-            "b ~= 2.0", "d[extra]>=3 # why", "=broken", "e (>=1, !=1.5)", "https://h/y.whl",
+            "b ~= 2.0", "d[extra]>=3 # why", "=broken", "e (>=1, !=1.5)", "https://h/y.whl", "f[x] @ https://h/f.whl",
         ]
     )
     files = spark.createDataFrame(
@@ -72,6 +89,6 @@ def test_requirements(spark):
     found = req.requirement_maps(parsed).collect()[0].requirements
     assert {k: [(s.op, s.version) for s in v] for k, v in found.items()} == {
         "a": [], "b": [("~=", "2.0")], "c": [(">=", "1"), ("<", "2")], "git+https://h/x": [], "./local": [],
-        "d": [(">=", "3")], "e": [(">=", "1"), ("!=", "1.5")], "https://h/y.whl": [],
+        "d": [(">=", "3")], "e": [(">=", "1"), ("!=", "1.5")], "https://h/y.whl": [], "f": [],
     }
-    assert parsed.agg(F.count("*")).collect()[0][0] == 8
+    assert parsed.agg(F.count("*")).collect()[0][0] == 9
