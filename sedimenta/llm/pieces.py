@@ -154,10 +154,10 @@ def bundled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     ``BUNDLE_BYTES`` of text; and the bytes of all text. Rows that are not read from
     files are staged first."""
     try:
-        rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"), docs["_metadata.file_path"].alias("file"), docs["_metadata.row_index"].alias("row"))
+        rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
         rows = stage(id_and_text(docs, id_col, text_col), "pieces-rows")
-        rows = rows.select("id", "body", rows["_metadata.file_path"].alias("file"), rows["_metadata.row_index"].alias("row"))
+        rows = rows.select("id", "body", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")).first()
     bundle_rows = max(1, int(size["n"] * BUNDLE_BYTES / max(1, size["bytes"])))
     bundle = F.hash("file", F.floor(F.col("row") / bundle_rows))
