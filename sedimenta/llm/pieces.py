@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -150,6 +149,69 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, unknown_scor
     return folded.select("word", "bundles", F.expr(BACKWARD).alias("ids"))
 
 
+class BundleWords:
+    """The words of one bundle: hashes, numbers of pieces and pieces as flat arrays.
+
+    A table of Python strings would take ten times the memory. Every word of a text of
+    the bundle is here, and words whose hashes are equal are kept by name besides.
+    """
+
+    def __init__(self):
+        self.parts: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]] = []
+        self.named: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def hashed(words: list[str]) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+    def add(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((words, self.hashed(words), lengths, ids))
+
+    def close(self) -> None:
+        """Sorts what was added, before the first text."""
+        hashes = np.concatenate([x[1] for x in self.parts])
+        lengths = np.concatenate([x[2] for x in self.parts])
+        self.ids = np.concatenate([x[3] for x in self.parts])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.lengths = hashes[order], lengths[order]
+        self.starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
+        twice = set(self.hashes[1:][self.hashes[1:] == self.hashes[:-1]].tolist())
+        if twice:
+            for words, own, sizes, ids in self.parts:
+                ends = np.cumsum(sizes)
+                for at in np.flatnonzero(np.isin(own, np.array(list(twice), dtype=np.uint64))):
+                    self.named[words[at]] = ids[ends[at] - sizes[at] : ends[at]]
+        self.parts = []
+
+    def encoded(self, words: list[str], vocabulary: Vocabulary) -> np.ndarray:
+        if not words:
+            return np.zeros(0, dtype=np.int32)
+        if self.parts:
+            self.close()
+        odd = [at for at, word in enumerate(words) if len(word) > LONGEST_WORD or word in self.named]
+        if odd:
+            out, begin = [], 0
+            for at in [*odd, len(words)]:
+                out.append(self.plain(words[begin:at]))
+                if at < len(words):
+                    word = words[at]
+                    out.append(self.named[word] if word in self.named else np.array(vocabulary.long(word), dtype=np.int32))
+                begin = at + 1
+            return np.concatenate(out)
+        return self.plain(words)
+
+    def plain(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, dtype=np.int32)
+        at = np.searchsorted(self.hashes, self.hashed(words))
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        place = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])
+        return self.ids[place]
+
+
 def bundled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """``id``, ``body`` and ``bundle``: neighbouring rows of a file, about
     ``BUNDLE_BYTES`` of text; and the bytes of all text. Rows that are not read from
@@ -194,7 +256,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for batch in slices(batches, "body"):
             for bundle, text in zip(batch.column("bundle").to_pylist(), batch.column("body").to_pylist()):
                 seen[bundle].update(x for x in vocabulary.segments(text) if len(x) <= LONGEST_WORD)
-            if sum(map(len, seen.values())) > 1_000_000:  # else one row for each word of a bundle and task
+            if sum(map(len, seen.values())) > 500_000:  # else one row for each word of a bundle and task
                 yield from pairs(seen)
                 seen.clear()
         yield from pairs(seen)
@@ -218,12 +280,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         lists: dict[int, list[tuple[str, list[int]]]] = defaultdict(list)
         for batch in batches:
             for word, bundles, ids in zip(*(batch.column(x).to_pylist() for x in ("word", "bundles", "ids"))):
-                entry = word, array("i", vocabulary.expanded(ids)).tobytes()
+                entry = word, vocabulary.expanded(ids)
                 for bundle in bundles:
                     lists[bundle].append(entry)
         press = zstandard.ZstdCompressor(level=3)
         for bundle, entries in lists.items():
-            blob = press.compress(pickle.dumps(sorted(entries)))
+            entries.sort()
+            lengths = np.array([len(ids) for _, ids in entries], dtype=np.int32)
+            every = np.array([i for _, ids in entries for i in ids], dtype=np.int32)
+            blob = press.compress(pickle.dumps(([word for word, _ in entries], lengths, every)))
             yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int32()), pa.array([blob], pa.binary())], ["bundle", "packed"])
 
     entries = known.mapInArrow(pack, "bundle int, packed binary").select("bundle", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), "packed")
@@ -234,19 +299,18 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        of, current = {}, None  # ids as bytes, a third of what an array takes
+        known, current = BundleWords(), None
         for batch in slices(batches, "packed", 1 << 20):
             ids, lists = [], []
             for bundle, is_text, row_id, blob in zip(*(batch.column(x).to_pylist() for x in ("bundle", "kind", "id", "packed"))):
                 if bundle != current:
-                    of, current = {}, bundle
+                    known, current = BundleWords(), bundle
                 raw = open_.decompress(blob)
                 if is_text:
-                    parts_of = (of[x] if x in of else array("i", vocabulary.long(x)).tobytes() for x in vocabulary.segments(raw.decode()))
                     ids.append(row_id)
-                    lists.append(np.frombuffer(b"".join(parts_of), dtype=np.int32))
+                    lists.append(known.encoded(vocabulary.segments(raw.decode()), vocabulary))
                 else:
-                    of.update(pickle.loads(raw))
+                    known.add(*pickle.loads(raw))
             if lists:
                 offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.ListArray.from_arrays(offsets, np.concatenate(lists))], ["id", "ids"])
