@@ -292,6 +292,27 @@ def test_duplicate_lines(spark, docs, empty):
     assert lines.duplicate_lines(empty).count() == 0 and lines.without_duplicate_lines(empty).count() == 0
 
 
+def test_short_prose_lines_become_candidates(spark):
+    """Prose lines of 30 to 80 characters, edited down to a similarity of just 0.8 or more."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 10))) for _ in range(400)]
+
+    def sets(line):
+        return {line[at : at + lines.SHINGLE] for at in range(max(1, len(line) - lines.SHINGLE + 1))}
+
+    pairs = []
+    while len(pairs) < 1000:
+        a = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 12)))
+        at = rng.choice([0, len(a), rng.randrange(len(a))])
+        b = a[:at] + rng.choice(["", rng.choice(vocabulary), "x"]) + a[at + rng.randrange(4) :]
+        x, y = sets(a), sets(b)
+        if 30 <= len(a) <= 80 and a != b and 80 <= 100 * len(x & y) / len(x | y) < 88:
+            pairs.append((a, b))
+    signed = [lines.signatures(spark.createDataFrame([(p[k],) for p in pairs], "line string")).select("bands").collect() for k in (0, 1)]
+    found = sum(any(u == v for u, v in zip(one.bands, two.bands)) for one, two in zip(*signed))
+    assert found >= 995
+
+
 def brute_spans(rows, width):
     lists = [words(t) for _, t in rows]
     seen = Counter(tuple(x[at : at + width]) for x in lists for at in range(len(x) - width + 1))
