@@ -8,6 +8,8 @@ and read through pyarrow's file systems instead.
 
 from __future__ import annotations
 
+import gzip
+import lzma
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -24,6 +26,9 @@ from sedimenta.session import spread
 # The members worth keeping of a release archive.
 KEPT_MEMBERS = ("*.py", "requirements*.txt")
 
+#: What broken content raises. Other errors, of the storage, fail the task and Spark tries again.
+_BROKEN = (tarfile.ReadError, EOFError, zlib.error, gzip.BadGzipFile, lzma.LZMAError)
+
 _FLUSH_BYTES = 16 * 1024 * 1024
 _RAW = pa.schema(
     [("repository_name", pa.string()), ("branch", pa.string()), ("path", pa.string()), ("raw", pa.binary())]
@@ -119,10 +124,7 @@ def _expand(root: str, archive_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(root)
 
-        def members(release: dict) -> Iterator[tuple]:
-            path = f"{base}/{release['repository_name']}/{release['branch']}/{archive_name}"
-            if filesystem.get_file_info(path).type != fs.FileType.File:
-                raise FileNotFoundError(path)
+        def members(release: dict, path: str) -> Iterator[tuple]:
             with filesystem.open_input_stream(path, compression=None) as stream:
                 # "r|*" streams the archive: one member in memory at a time.
                 with tarfile.open(fileobj=stream, mode="r|*") as archive:
@@ -136,13 +138,15 @@ def _expand(root: str, archive_name: str):
         def rows() -> Iterator[tuple]:
             for release in _records(batches):
                 key = release["repository_name"], release["branch"]
+                path = f"{base}/{release['repository_name']}/{release['branch']}/{archive_name}"
                 status = "complete"
-                try:
-                    yield from members(release)
-                except FileNotFoundError:
+                if filesystem.get_file_info(path).type != fs.FileType.File:
                     status = "absent"
-                except (tarfile.ReadError, EOFError, zlib.error, OSError):
-                    status = "truncated"
+                else:
+                    try:
+                        yield from members(release, path)
+                    except _BROKEN:
+                        status = "truncated"
                 yield *key, None, None, status
 
         yield from _batches(rows(), _PACKED)
@@ -158,7 +162,8 @@ def archive_rows(
     Columns repository_name, branch, path, content, status. A member has no status; the
     last row of a release has no path and says ``complete``, ``truncated`` (empty or
     broken: members up to the break are here) or ``absent``. The first path component
-    is stripped; hidden files and folders are skipped, as in source trees. Compressed
+    is stripped; hidden files and folders are skipped, as in source trees. Errors of the
+    storage are not statuses: they fail the task, and Spark tries again. Compressed
     and plain archives are told apart by content. Releases listed in ``extracted`` are
     skipped. Each archive is read once: stage the result to use both parts.
     """

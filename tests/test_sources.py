@@ -1,9 +1,13 @@
 import io
 import tarfile
+from types import SimpleNamespace
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.sources import requirements as req
+from sedimenta.sources import trees
 from sedimenta.sources.trees import archive_rows, archive_status, expand_archives, read_source_tree
 
 RELEASES = "repository_name string, branch string"
@@ -74,6 +78,38 @@ def test_archive_status(spark, tmp_path):
     assert files["v1"] == files["v2"] == 30 and 10 < files["v3"] < 30 and "v4" not in files
 
 
+@pytest.mark.parametrize("error", [OSError("lost"), TimeoutError("late"), PermissionError("no"), FileNotFoundError("moved")])
+@pytest.mark.parametrize("place", ["info", "open", "read"])
+def test_storage_errors_fail_the_task(monkeypatch, tmp_path, error, place):
+    archive(tmp_path / "b" / "a.tar", {f"b-1/m{i}.py": b"x" * 20_000 for i in range(9)}, "w")
+    whole = io.BytesIO((tmp_path / "b" / "a.tar").read_bytes())
+
+    def fail_at(here):
+        if here == place:
+            raise error
+
+    class Stream(io.BytesIO):
+        def read(self, size=-1):
+            if whole.tell() > 100_000:
+                fail_at("read")
+            return whole.read(size)
+
+    class Storage:
+        def get_file_info(self, path):
+            fail_at("info")
+            return SimpleNamespace(type=trees.fs.FileType.File)
+
+        def open_input_stream(self, path, compression):
+            fail_at("open")
+            return Stream()
+
+    fake = SimpleNamespace(FileType=trees.fs.FileType, FileSystem=SimpleNamespace(from_uri=lambda root: (Storage(), root)))
+    monkeypatch.setattr(trees, "fs", fake)
+    releases = pa.RecordBatch.from_pylist([{"repository_name": "b", "branch": "v1"}])
+    with pytest.raises(type(error)):
+        list(trees._expand("x://r", "a.tar")(iter([releases])))
+
+
 def test_requirements(spark):
     text = "\n".join(
         [
