@@ -617,4 +617,8 @@ UNION ALL SELECT repository_name, branch, release_no, 'n_files_unchanged', n_fil
     per_release = "SELECT count(*) AS n FROM files GROUP BY repository_name, branch"
     sql["hist_files_per_release"] = _with(_METHODS) + _histogram(per_release, 4)
     sql["hist_files_shown"] = _with(_METHODS) + f"SELECT * FROM ({_histogram(per_release, 4)}) WHERE hi > 40 AND lo <= 50"
+    # the six queries over files of one path, over renamed files as well
+    for name in ("method_match_exact", "method_match_signature", "methods_added_removed", "method_diff", "call_alignment", "call_diff"):
+        whole = sql[name].replace(_SAME_PATH_ONLY, f"{_renames()},\n{_MAPPED_FILES}").removeprefix("WITH ").removeprefix("RECURSIVE ")
+        sql[f"{name}_all_files"] = "WITH RECURSIVE " + whole
     return sql

@@ -459,8 +459,13 @@ def files_added_removed(spark, sf):
     return file_ops.unmatched(compared, _renamed(compared)).select(*FILE_PAIR, "status")
 
 
-def _mapped_methods(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Methods, as rows, of both sides of files with one path in both releases."""
+def _mapped_methods(spark, sf, renames: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Methods, as rows, of both sides of files with one path in both releases.
+
+    With ``renames`` those of renamed files as well; both sides carry the new path.
+    """
+    if renames:
+        return _mapped_methods_all_files(spark, sf)
     pairs, methods = h.history_pairs(spark, sf), h.history_methods(spark, sf)
     old, new = file_ops.pair_sides(pairs, methods)
     keys = file_ops.compare_paths(*file_ops.pair_sides(pairs, methods.select(*FILE).distinct()))
@@ -468,54 +473,63 @@ def _mapped_methods(spark, sf) -> tuple[DataFrame, DataFrame]:
     return old.join(keys, FILE_PAIR, "left_semi"), new.join(keys, FILE_PAIR, "left_semi")
 
 
-def _aligned(spark, sf, exclusive: bool = True) -> DataFrame:
-    aligned = method_ops.align_methods(*_mapped_methods(spark, sf), FILE_PAIR, exclusive)
+def _mapped_methods_all_files(spark, sf) -> tuple[DataFrame, DataFrame]:
+    compared = stage(_compared(spark, sf), "compared")
+    exact = file_ops.match_exact(compared).select(*PAIR, F.col("path").alias("prev_path"), "path")
+    keys = stage(exact.unionByName(_renamed(compared).select(*PAIR, "prev_path", "path")), "mapped")
+    old, new = file_ops.pair_sides(h.history_pairs(spark, sf), h.history_methods(spark, sf))
+    old = old.withColumnRenamed("path", "prev_path").join(keys, [*PAIR, "prev_path"]).select(*new.columns)
+    return old, new.join(keys, FILE_PAIR, "left_semi")
+
+
+def _aligned(spark, sf, exclusive: bool = True, renames: bool = False) -> DataFrame:
+    aligned = method_ops.align_methods(*_mapped_methods(spark, sf, renames), FILE_PAIR, exclusive)
     return _long(aligned, "old_ord", "new_ord")
 
 
 @register
-def method_match_exact(spark, sf):
-    return _aligned(spark, sf).where("match = 'exact'").select(*FILE_PAIR, "old_ord", "new_ord")
+def method_match_exact(spark, sf, renames: bool = False):
+    return _aligned(spark, sf, renames=renames).where("match = 'exact'").select(*FILE_PAIR, "old_ord", "new_ord")
 
 
 @register
-def method_match_signature(spark, sf):
-    return _aligned(spark, sf).where("match = 'signature'").select(*FILE_PAIR, "old_ord", "new_ord")
+def method_match_signature(spark, sf, renames: bool = False):
+    return _aligned(spark, sf, renames=renames).where("match = 'signature'").select(*FILE_PAIR, "old_ord", "new_ord")
 
 
 @register
-def methods_added_removed(spark, sf):
+def methods_added_removed(spark, sf, renames: bool = False):
     def lone(exclusive: bool) -> DataFrame:
-        rows = _aligned(spark, sf, exclusive).where("status in ('added', 'removed')")
+        rows = _aligned(spark, sf, exclusive, renames).where("status in ('added', 'removed')")
         return rows.select(*FILE_PAIR, "status", "old_ord", "new_ord", F.lit(exclusive).alias("exclusive"))
 
     return lone(True).unionByName(lone(False))
 
 
-def _method_pairs(spark, sf) -> DataFrame:
-    old, new = _mapped_methods(spark, sf)
+def _method_pairs(spark, sf, renames: bool = False) -> DataFrame:
+    old, new = _mapped_methods(spark, sf, renames)
     aligned = method_ops.align_methods(old, new, FILE_PAIR).where("status = 'mapped'")
     return method_ops.attach_methods(aligned, old, new, FILE_PAIR)
 
 
 @register
-def method_diff(spark, sf):
-    scored = _method_pairs(spark, sf).withColumn("s", statistics(F.col("old.content"), F.col("new.content")))
+def method_diff(spark, sf, renames: bool = False):
+    scored = _method_pairs(spark, sf, renames).withColumn("s", statistics(F.col("old.content"), F.col("new.content")))
     return _long(scored, "old_ord", "new_ord").select(
         *FILE_PAIR, "old_ord", "new_ord", "match", F.col("s.ratio").alias("ratio"),
         F.col("s.dist").cast("long").alias("dist"),
     )
 
 
-def _call_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
-    pairs = _method_pairs(spark, sf).select(*FILE_PAIR, "old_ord", "new_ord", "old.calls", F.col("new.calls").alias("news"))
+def _call_rows(spark, sf, renames: bool = False) -> tuple[DataFrame, DataFrame]:
+    pairs = _method_pairs(spark, sf, renames).select(*FILE_PAIR, "old_ord", "new_ord", "old.calls", F.col("new.calls").alias("news"))
     keys = [*FILE_PAIR, "old_ord", "new_ord"]
     return pairs.select(*keys, F.inline("calls")), pairs.select(*keys, F.inline("news"))
 
 
 @register
-def call_alignment(spark, sf):
-    aligned = call_ops.align_nested_calls(_method_pairs(spark, sf), [*FILE_PAIR, "old_ord", "new_ord"])
+def call_alignment(spark, sf, renames: bool = False):
+    aligned = call_ops.align_nested_calls(_method_pairs(spark, sf, renames), [*FILE_PAIR, "old_ord", "new_ord"])
     return _long(aligned, "old_ord", "new_ord").select(
         *FILE_PAIR, "old_ord", "new_ord", "status",
         F.col("old.call_ord").cast("long").alias("old_call"), F.col("new.call_ord").cast("long").alias("new_call"),
@@ -523,8 +537,8 @@ def call_alignment(spark, sf):
 
 
 @register
-def call_diff(spark, sf):
-    aligned = call_ops.align_calls(*_call_rows(spark, sf), [*FILE_PAIR, "old_ord", "new_ord"])
+def call_diff(spark, sf, renames: bool = False):
+    aligned = call_ops.align_calls(*_call_rows(spark, sf, renames), [*FILE_PAIR, "old_ord", "new_ord"])
     scored = aligned.where("status = 'mapped'").withColumn(
         "s", statistics(F.col("old.expression"), F.col("new.expression"))
     )
@@ -535,6 +549,20 @@ def call_diff(spark, sf):
     )
 
 
+def _all_files(query: Callable[..., DataFrame]) -> Query:
+    """The same query over exact and renamed files."""
+
+    def whole(spark, sf):
+        return query(spark, sf, renames=True)
+
+    whole.__name__ = f"{query.__name__}_all_files"
+    return register(whole)
+
+
+for _query in (method_match_exact, method_match_signature, methods_added_removed, method_diff, call_alignment, call_diff):
+    _all_files(_query)
+
+
 @register
 def file_diff(spark, sf):
     sources = h.history_sources(spark, sf)
