@@ -44,22 +44,29 @@ ASIDE_NAMES = set(
 )
 CONTENT_TAGS = {"article", "main"}
 CONTENT_NAMES = set("article content entry main post story body".split())
+#: Elements that are one paragraph or heading, never a container.
+PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？¿¡]")
 
 
 class Block:
-    """Text between block borders, with the elements that hold it."""
+    """Text between block borders, with the elements that hold it.
 
-    __slots__ = ("aside", "path", "holders", "parts", "linked")
+    ``aside``: an element that marks surroundings by its tag holds it; ``marked``: the
+    elements that do so by their names alone.
+    """
+
+    __slots__ = ("aside", "marked", "path", "holders", "parts", "linked")
 
-    def __init__(self, path: str, holders: tuple[int, ...], aside: bool):
-        self.path, self.holders, self.aside, self.parts, self.linked = path, holders, aside, [], 0
+    def __init__(self, path: str, holders: tuple[int, ...], aside: bool, marked: tuple[int, ...]):
+        self.path, self.holders, self.aside, self.marked, self.parts, self.linked = path, holders, aside, marked, [], 0
 
 
-def blocks_of(page: str) -> tuple[list[tuple[Block, str]], dict[int, bool]]:
-    """Blocks with text in page order; which elements are named as content."""
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, aside, number, inline
+def blocks_of(page: str) -> tuple[list[tuple[Block, str]], dict[int, bool], dict[int, str]]:
+    """Blocks with text in page order; which elements are named as content; tags of elements."""
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, aside, number, inline, marked
     named: dict[int, bool] = {}
+    tags: dict[int, str] = {}
     blocks: list[Block] = []
     current: Block | None = None
     number = at = 0
@@ -72,7 +79,7 @@ def blocks_of(page: str) -> tuple[list[tuple[Block, str]], dict[int, bool]]:
             if raw.isspace():
                 return
             outer = [x for x in stack if not x[3]]
-            current = Block("/".join(x[0] for x in outer), tuple(x[2] for x in outer), any(x[1] for x in stack))
+            current = Block("/".join(x[0] for x in outer), tuple(x[2] for x in outer), any(x[1] for x in stack), tuple(x[2] for x in stack if x[4]))
             blocks.append(current)
         text = html.unescape(raw)
         current.parts.append(text)
@@ -110,13 +117,18 @@ def blocks_of(page: str) -> tuple[list[tuple[Block, str]], dict[int, bool]]:
                     break
         names = set(re.split(r"[^a-z]+", " ".join(NAMES.findall(token["rest"])).lower())) if token["rest"] else set()
         inside = any(x[0] in CONTENT_TAGS for x in stack)
-        aside = tag in ASIDE_TAGS or bool(names & ASIDE_NAMES) and tag not in ("body", "html") or tag == "header" and not inside
-        named[number] = not aside and (tag in CONTENT_TAGS or not inline and bool(names & CONTENT_NAMES))
-        stack.append((tag, aside, number, inline))
+        aside = tag in ASIDE_TAGS or tag == "header" and not inside
+        words = names & ASIDE_NAMES
+        if inside or any(named.get(x[2]) for x in stack):
+            words -= {"header"}
+        marked = bool(words) and tag not in ("body", "html", *CONTENT_TAGS - {"article"})
+        named[number] = not aside and not marked and (tag in CONTENT_TAGS or not inline and bool(names & CONTENT_NAMES))
+        tags[number] = tag
+        stack.append((tag, aside, number, inline, marked))
         number += 1
     add(page[at:])
     texts = [(block, " ".join("".join(block.parts).split())) for block in blocks]
-    return [(block, text) for block, text in texts if text], named
+    return [(block, text) for block, text in texts if text], named, tags
 
 
 def smoothed(values: list[float], radius: int = 1) -> list[float]:
@@ -129,21 +141,8 @@ def smoothed(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The blocks of the page's content, in page order, joined by one space.
-
-    Per root-to-leaf tag path, text without links and punctuation are divided by the
-    number of blocks there; both ratios are smoothed along the page and fused by their
-    product. Paths over the threshold (the standard deviation, or the mean if that is
-    less) vote with their text for each element that holds them; elements named as
-    content count double, and blocks in elements named as surroundings do not vote.
-    The deepest element with nearly all of the best vote is the article, and all its
-    blocks outside surroundings are its text, short ones and headings included.
-    """
-    blocks, named = blocks_of(page)
-    blocks = [(block, text) for block, text in blocks if not block.aside]
-    if not blocks:
-        return ""
+def chosen_paths(blocks: list[tuple[Block, str]]) -> set[str]:
+    """Tag paths over the threshold of fused, smoothed ratios."""
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for block, text in blocks:
         length[block.path] += max(0, len(text) - block.linked)
@@ -154,16 +153,52 @@ def main_text(page: str) -> str:
     fused = [a * b for a, b in zip(by_length, by_marks)]
     mean = sum(fused) / len(fused)
     threshold = min(mean, math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)))
-    chosen = {block.path for (block, _), score in zip(blocks, fused) if score >= threshold}
+    return {block.path for (block, _), score in zip(blocks, fused) if score >= threshold}
+
+
+def container(blocks: list[tuple[Block, str]], votes: dict[int, float], named: dict[int, bool], tags: dict[int, str]) -> int | None:
+    """The element that is the article: of those with nearly all of the best vote the
+    outermost ``article`` or ``main``, else the outermost named as content, else the
+    deepest that is not a single paragraph."""
+    best = max(votes.values(), default=0)
+    able = [x for x, vote in votes.items() if vote >= 0.95 * best]
+    for kind in ([x for x in able if tags[x] in CONTENT_TAGS and named[x]], [x for x in able if named[x] and tags[x] not in PARAGRAPHS]):
+        if kind:
+            return min(kind)
+    held: dict[int, int] = defaultdict(int)
+    for block, _ in blocks:
+        for holder in block.holders:
+            held[holder] += 1
+    wide = [x for x in able if tags[x] not in PARAGRAPHS]
+    several = [x for x in wide if held[x] > 1 and tags[x] not in ("html", "body")]
+    return max(several or wide, default=None)
+
+
+def main_text(page: str) -> str:
+    """The blocks of the page's content, in page order, joined by one space.
+
+    Per root-to-leaf tag path, text without links and punctuation are divided by the
+    number of blocks there; both ratios are smoothed along the page and fused by their
+    product. Paths over the threshold (the standard deviation, or the mean if that is
+    less) vote with their text for each element that holds them; elements named as
+    content count double, and blocks in surroundings do not vote: those are told by
+    their tag or by names. The text is all
+    blocks outside surroundings that are on a chosen path or in the container, short
+    ones and headings included.
+    """
+    blocks, named, tags = blocks_of(page)
+    blocks = [(block, text) for block, text in blocks if not block.aside and not block.marked]
+    if not blocks:
+        return ""
+    chosen = chosen_paths(blocks)
     votes: dict[int, float] = defaultdict(float)
     for block, text in blocks:
         for holder in block.holders if block.path in chosen else ():
             votes[holder] += len(text) * (2 if named.get(holder) else 1)
     if not votes:
         return " ".join(text for _, text in blocks)
-    best = max(votes.values())
-    article = max(holder for holder, vote in votes.items() if vote >= 0.95 * best)
-    return " ".join(text for block, text in blocks if article in block.holders)
+    article = container(blocks, votes, named, tags)
+    return " ".join(text for block, text in blocks if block.path in chosen or article in block.holders)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

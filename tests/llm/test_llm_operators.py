@@ -385,3 +385,13 @@ def test_main_text(spark, empty):
     assert got[1] == ("u", want) and got[2] == (None, "") and got[None] == ("u", "") and got[3][1] == "cut off her" and got[4][1] == ""
     assert got[5][1] == "a < b"
     assert pages.main_texts(table.where("false")).count() == 0
+
+
+PROSE, MORE = ("Long prose, with words and more words. " * 20).strip(), ("Other prose, of this page. " * 15).strip()
+
+
+def test_main_text_keeps_headings_and_short_paragraphs():
+    inner = f'<body><article><h1>Title</h1><p>A lead.</p><div class="content"><p>{PROSE}</p><p>{MORE}</p></div><p>An end.</p></article></body>'
+    assert pages.main_text(inner) == f"Title A lead. {PROSE} {MORE} An end."
+    one = "Words, of it. " * 220
+    assert pages.main_text(f"<body><div><h1>Head</h1><p>{one}</p><p>A short end.</p></div></body>") == f"Head {one}A short end."
