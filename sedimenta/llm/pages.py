@@ -156,6 +156,42 @@ def chosen_paths(blocks: list[tuple[Block, str]]) -> set[str]:
     return {block.path for (block, _), score in zip(blocks, fused) if score >= threshold}
 
 
+def without_marked(blocks: list[tuple[Block, str]], named: dict[int, bool]) -> list[tuple[Block, str]]:
+    """Blocks outside elements that names mark as surroundings.
+
+    Names do not count on an element that holds the content element with most of the
+    text, nor, where no content element is left with text, on one with more than half
+    of the page's vote; if that leaves less than nine tenths of the vote, names do not
+    count inside that content element or, without one, on the page. If nothing that votes is left, names do not count inside the
+    content elements that have text left, or, without any, on the page.
+    """
+    if not any(block.marked for block, _ in blocks):
+        return blocks
+    paths = chosen_paths(blocks)
+    votes: dict[int, int] = defaultdict(int)
+    for block, text in blocks:
+        for holder in {*block.holders, *block.marked} if block.path in paths else ():
+            votes[holder] += len(text)
+    total = sum(len(text) for block, text in blocks if block.path in paths)
+    content = [x for x in votes if named.get(x)]
+    top = max(content, key=lambda x: (votes[x], -x)) if content else None
+    around = {x for block, _ in blocks if top in block.holders for x in block.marked if x < top} if content else set()
+
+    def left(ignored: set[int]) -> list[tuple[Block, str]]:
+        return [(block, text) for block, text in blocks if set(block.marked) <= ignored]
+
+    kept = left(around)
+    if not any(named.get(x) for block, _ in kept for x in block.holders):
+        kept = left(around | {x for block, _ in blocks for x in block.marked if 2 * votes[x] > total})
+        if 10 * sum(len(text) for block, text in kept if block.path in paths) < 9 * total:
+            return [(block, text) for block, text in blocks if not block.marked or not content or top in block.holders]
+    if any(block.path in paths for block, _ in kept):
+        return kept
+    inner = {max(x for x in block.holders if named.get(x)) for block, _ in kept if any(named.get(x) for x in block.holders)}
+    wider = {id(block) for block, _ in kept} | {id(block) for block, _ in blocks if inner & set(block.holders)}
+    return [(block, text) for block, text in blocks if id(block) in wider] if inner else blocks
+
+
 def container(blocks: list[tuple[Block, str]], votes: dict[int, float], named: dict[int, bool], tags: dict[int, str]) -> int | None:
     """The element that is the article: of those with nearly all of the best vote the
     outermost ``article`` or ``main``, else the outermost named as content, else the
@@ -182,12 +218,12 @@ def main_text(page: str) -> str:
     product. Paths over the threshold (the standard deviation, or the mean if that is
     less) vote with their text for each element that holds them; elements named as
     content count double, and blocks in surroundings do not vote: those are told by
-    their tag or by names. The text is all
+    their tag, or by names where the ratios do not speak against it. The text is all
     blocks outside surroundings that are on a chosen path or in the container, short
     ones and headings included.
     """
     blocks, named, tags = blocks_of(page)
-    blocks = [(block, text) for block, text in blocks if not block.aside and not block.marked]
+    blocks = without_marked([(block, text) for block, text in blocks if not block.aside], named)
     if not blocks:
         return ""
     chosen = chosen_paths(blocks)

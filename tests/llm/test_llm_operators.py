@@ -395,3 +395,20 @@ def test_main_text_keeps_headings_and_short_paragraphs():
     assert pages.main_text(inner) == f"Title A lead. {PROSE} {MORE} An end."
     one = "Words, of it. " * 220
     assert pages.main_text(f"<body><div><h1>Head</h1><p>{one}</p><p>A short end.</p></div></body>") == f"Head {one}A short end."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "sticky-header", "elementor-widget", "long-form", "related-layout"])
+def test_main_text_in_wrappers_named_as_surroundings(name):
+    side = '<div class="sidebar"><p>Other stories, of us.</p></div>'
+    for tag in ("article", "div"):
+        page = f'<body><div class="{name}"><{tag}><h1>Title</h1><p>{PROSE}</p><p>{MORE}</p></{tag}></div>{side}</body>'
+        assert pages.main_text(page) == f"Title {PROSE} {MORE}"
+    within = f'<body><article><h1>Title</h1><div class="{name}"><p>{PROSE}</p><p>{MORE}</p></div></article>{side}</body>'
+    assert pages.main_text(within) == f"Title {PROSE} {MORE}"
+    header = f'<article><div class="entry-header"><h1>Title</h1></div><p>{PROSE}</p></article>'
+    assert pages.main_text(header) == f"Title {PROSE}"
+    each = "".join(f'<div class="{name}">{x}</div>' for x in ("<h1>Title</h1>", f"<p>{PROSE}</p>", f"<p>{MORE}</p>"))
+    for tag in ("article", "div"):
+        assert pages.main_text(f"<body><{tag}>{each}</{tag}></body>") == f"Title {PROSE} {MORE}"
+    thread = f'<main><article><h1>Title</h1><p>Short text, here.</p></article><section id="comments"><p>{PROSE}</p></section></main>'
+    assert pages.main_text(thread) == "Title Short text, here."
