@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import contamination
 from .exact import exact_duplicates
 from .lines import duplicate_lines
+from .manifest import folded_root, manifest, proof_text
 from .near import near_duplicates
 from .pages import main_texts
 from .pieces import decode, encode
@@ -91,6 +92,22 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(2)) == 0
+    text = F.when(tampered, F.regexp_replace(docs["text"], "\n", "")).otherwise(docs["text"])
+    proved = manifest(docs, claimed={"text": text}).withColumn("folded_root", folded_root())
+    return proved.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(proof_text(), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_minhash_near_dedup": minhash_near_dedup,
@@ -102,6 +119,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup,
     "op9_sentencepiece_codec": sentencepiece_codec,
     "op10_html_extraction": html_extraction,
+    "op11_merkle_manifest": merkle_manifest,
 }
 
 ORACLES = {
@@ -158,4 +176,58 @@ ORACLES = {
         SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
         FROM doc LEFT JOIN kept USING (doc_id)
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE field AS (
+            SELECT doc_id, source, text, coalesce(doc_id::VARCHAR, '') AS name,
+                   concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'),
+                          coalesce(strlen(source) || ':' || source, '-'),
+                          coalesce(strlen(lang) || ':' || lang, '-'),
+                          coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS front FROM documents),
+        crc AS (
+            SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 8 * len(name) + 1), lambda i:
+                       CASE WHEN i % 8 = 1 THEN ascii(name[(i + 7) // 8])::BIGINT ELSE 0 END)),
+                   lambda state, byte: xor(xor(state, byte) >> 1, 3988292384 * (xor(state, byte) & 1))) AS register
+            FROM field),
+        claim AS (SELECT *, CASE WHEN xor(register, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM crc),
+        leaf AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree,
+                   sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(front || coalesce(strlen(other) || ':' || other, '-')) AS claimed FROM claim),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+        node AS (
+            SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+            UNION ALL
+            SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM node WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+        subroot AS (
+            SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+        upper AS (
+            SELECT 0 AS level, pos, digest, n FROM subroot
+            UNION ALL
+            SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, pos // 3, n),
+        inner_step AS (
+            SELECT doc_id, leaf, level AS seq, string_agg(digest, '' ORDER BY node.pos) FILTER (node.pos < own) AS before,
+                   string_agg(digest, '' ORDER BY node.pos) FILTER (node.pos > own) AS behind
+            FROM (SELECT doc_id, leaf, tree, level, placed.pos // (3 ** level)::BIGINT AS own
+                  FROM placed JOIN (SELECT DISTINCT tree, level FROM node WHERE n > 1) USING (tree)) AS way
+            JOIN node USING (tree, level) WHERE node.pos // 3 = own // 3 GROUP BY doc_id, leaf, level, own),
+        outer_step AS (
+            SELECT tree, 1000 + level AS seq, string_agg(digest, '' ORDER BY upper.pos) FILTER (upper.pos < own) AS before,
+                   string_agg(digest, '' ORDER BY upper.pos) FILTER (upper.pos > own) AS behind
+            FROM (SELECT tree, level, subroot.pos // (3 ** level)::BIGINT AS own
+                  FROM subroot CROSS JOIN (SELECT DISTINCT level FROM upper WHERE n > 1)) AS way
+            JOIN upper USING (level) WHERE upper.pos // 3 = own // 3 GROUP BY tree, level, own),
+        step AS (
+            SELECT doc_id, leaf, seq, coalesce(before, '') AS before, coalesce(behind, '') AS behind FROM inner_step
+            UNION ALL
+            SELECT doc_id, leaf, seq, coalesce(before, ''), coalesce(behind, '') FROM placed JOIN outer_step USING (tree)),
+        way AS (
+            SELECT doc_id, leaf, string_agg(before || behind, '' ORDER BY seq) AS proof, list(before || '|' || behind ORDER BY seq) AS steps FROM step GROUP BY doc_id, leaf),
+        folded AS (
+            SELECT placed.doc_id, leaf, tree, coalesce(proof, '') AS proof,
+                   list_reduce(list_prepend(claimed, coalesce(steps, [])), lambda state, x: sha256(split_part(x, '|', 1) || state || split_part(x, '|', 2))) AS folded_root
+            FROM placed LEFT JOIN way USING (doc_id, leaf))
+        SELECT doc_id, leaf, subroot.digest AS subroot, top.digest AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = top.digest AS verified
+        FROM folded JOIN subroot USING (tree) CROSS JOIN (SELECT digest FROM upper WHERE n = 1) AS top
+    """,
 }
