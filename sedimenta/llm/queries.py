@@ -14,6 +14,7 @@ from .exact import exact_duplicates
 from .lines import duplicate_lines
 from .manifest import folded_root, manifest, proof_text
 from .near import near_duplicates
+from .ngram_join import ngram_join
 from .pages import main_texts
 from .pieces import decode, encode
 from .quality import quality_scores, train
@@ -108,6 +109,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_minhash_near_dedup": minhash_near_dedup,
@@ -120,6 +125,7 @@ QUERIES = {
     "op9_sentencepiece_codec": sentencepiece_codec,
     "op10_html_extraction": html_extraction,
     "op11_merkle_manifest": merkle_manifest,
+    "op12_ngram_jaccard_join": ngram_jaccard_join,
 }
 
 ORACLES = {
@@ -230,4 +236,21 @@ ORACLES = {
         SELECT doc_id, leaf, subroot.digest AS subroot, top.digest AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = top.digest AS verified
         FROM folded JOIN subroot USING (tree) CROSS JOIN (SELECT digest FROM upper WHERE n = 1) AS top
     """,
+    "op12_ngram_jaccard_join": r"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS words FROM documents),
+        place AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM doc WHERE len(words) > 0),
+        shingle AS (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS piece FROM place),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+                 FROM shingle x JOIN shingle y ON x.piece = y.piece AND x.doc_id < y.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN size s ON a = s.doc_id JOIN size t ON b = t.doc_id
+                 WHERE 100 * common >= 80 * (s.n + t.n - common)),
+        both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents
+                  UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+        FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
+    """,
 }
