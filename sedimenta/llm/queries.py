@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned_tokens
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_duplicates
@@ -113,6 +114,12 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes()
+    aligned = aligned_tokens(table(spark, sf_dir, "documents"), first, model_bytes(), groups_as=lambda groups: F.sha2(groups, 256))
+    return aligned.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_minhash_near_dedup": minhash_near_dedup,
@@ -126,6 +133,7 @@ QUERIES = {
     "op10_html_extraction": html_extraction,
     "op11_merkle_manifest": merkle_manifest,
     "op12_ngram_jaccard_join": ngram_jaccard_join,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 ORACLES = {
