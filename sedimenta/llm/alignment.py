@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -22,8 +25,8 @@ from .tokens import SPACE
 #: Bytes of a text's chunk, fragments composed in one step, and the most text that shares
 #: one table of link counts.
 CHUNK, FAN_IN, BUNDLE_BYTES = 1 << 16, 16, 48 << 20
-#: Between a character and white space before a word, no token of the first kind goes on.
-BORDER = re.compile(r"(?<=\S)(?=[ \n\t]\s*\S)")
+#: Stretches between two borders whose tokens a worker keeps.
+SEEN_ONCE, SEEN_TWICE = 90_000, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -34,6 +37,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: What is kept of a stretch that is not given back.
+LOST = -1, -1, b"", b""
+
+
 class Tokenizers:
     """Both libraries, the bytes of each token, and where texts may be cut."""
 
@@ -54,21 +61,95 @@ class Tokenizers:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.second.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(pieces)]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in each], dtype=np.int64) for each in (self.bytes_a, self.bytes_b))
-        self.inner = {x[k : k + 2] for i, x in enumerate(pieces) if not self.second.is_byte(i) for k in range(len(x) - 1)}
+        inner = {x[k : k + 2] for i, x in enumerate(pieces) if not self.second.is_byte(i) for k in range(len(x) - 1)}
+        #: A border lies before white space that a word follows, where the first kind never
+        #: goes on, if no piece holds a character and this white space behind it. (Runs of
+        #: marks are no exception: a text with a mark is not given back.)
+        self.blanks = "".join(c for c in " \n\t" if not any(x[1] == c.replace(" ", SPACE) and x != 2 * SPACE for x in inner))
+        self.border = re.compile(rf"(?<=\S)(?=[{self.blanks}]\s*\S)" if self.blanks else "(?!)")
+        self.writer = Writer(len(self.bytes_a), len(self.bytes_b))
+        self.kept: dict[str, tuple[int, int, bytes, bytes]] = {}
+        self.seen: dict[str, tuple[int, int, bytes, bytes]] = {}
 
     def borders(self, text: str) -> Iterator[int]:
-        """Places where neither tokenizer can tell that the text goes on: white space
-        begins, and no piece holds the two characters side by side, nor the mark that is put
-        before a text and the character behind the border."""
-        for found in BORDER.finditer(text):
-            at = found.start()
-            left, right = text[at - 1], text[at].replace(" ", SPACE)
-            if left + right not in self.inner and (right == SPACE or SPACE + right not in self.inner):
-                yield at
+        """Places where no token of either kind reaches across."""
+        return (found.start() for found in self.border.finditer(text))
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes new stretches, many in one text: borders keep them apart there, too."""
+        group: list[str] = []
+        size = 0
+        for part in parts:
+            if part[-1].isspace() or part[0] not in self.blanks:
+                self.learn_group([part])
+                continue
+            group.append(part)
+            size += len(part)
+            if size > 1 << 14:
+                self.learn_group(group)
+                group, size = [], 0
+        if group:
+            self.learn_group(group)
+
+    def learn_group(self, group: list[str]) -> None:
+        """Keeps numbers of tokens of both kinds, groups and links of each stretch."""
+        if (ids := self.encoded("".join(group))) is None:
+            if len(group) == 1:
+                self.kept[group[0]] = LOST
+            else:
+                for part in group:
+                    self.learn_group([part])
+            return
+        a, b = ids
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        links = (a[at_a].astype(np.int64) << 32 | b[at_b].astype(np.int64)).tobytes()
+        stops = np.cumsum([len(part.encode()) for part in group])
+        tokens_a, tokens_b, cuts = (np.searchsorted(each, stops, side="right").tolist() for each in (ends_a, ends_b, ends_a[at_a]))
+        shown = self.writer.tokens(a, b, at_a, at_b)
+        from_a = from_b = from_cut = 0
+        for part, to_a, to_b, to_cut in zip(group, tokens_a, tokens_b, cuts):
+            text = "".join(shown[from_a + from_b : to_a + to_b])[:-1].encode()
+            self.kept[part] = to_a - from_a, to_b - from_b, text, links[8 * from_cut : 8 * to_cut]
+            from_a, from_b, from_cut = to_a, to_b, to_cut
+
+    def stretches(self, texts: list[str]) -> Iterator[list[tuple[int, int, bytes, bytes]] | None]:
+        """The stretches of each text, or None if one of them is not given back.
+
+        Stretches that come a second time while they are among the ``SEEN_ONCE`` latest
+        are kept longer than those that came once."""
+        if len(self.seen) > SEEN_ONCE:
+            self.seen.clear()
+        if len(self.kept) > SEEN_TWICE:
+            self.kept.clear()
+        split, kept = self.border.split, self.kept
+        parts = [split(text) if text and SPACE not in text else [] for text in texts]
+        new = set(chain.from_iterable(parts)).difference(kept)
+        again = new.intersection(self.seen)
+        kept.update((part, self.seen.pop(part)) for part in again)
+        new -= again
+        self.learn(list(new))
+        for text, each in zip(texts, parts):
+            found = [kept[part] for part in each]
+            yield None if SPACE in text or LOST in found else found
+        for part in new:
+            found = kept.pop(part)
+            if len(part) <= 64:
+                self.seen[part] = found
+
+    def wholes(self, texts: list[str]) -> Iterator[Fragment]:
+        """The fragments of whole texts: their stretches are closed on both sides."""
+        for parts in self.stretches(texts):
+            if parts is None:
+                yield Fragment(sound=False)
+                continue
+            n_a, n_b, groups, links = zip(*parts) if parts else [()] * 4
+            links = np.frombuffer(b"".join(links), dtype=np.int64)
+            yield Fragment(cut=bool(parts), closed=b";".join(groups), links=links, n_a=sum(n_a), n_b=sum(n_b))
 
     def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both for a text between two borders; None if the bytes of either are not
-        those of the text."""
+        """Ids as the libraries give them for a text between two borders; None if the bytes
+        of either are not those of the text."""
         a = np.array(self.first.encode(text, add_special_tokens=False).ids, dtype=np.int32)
         marked = text.startswith(" ")
         b = np.array(self.second.encode(text[1:] if marked else text), dtype=np.int32)
@@ -88,8 +169,9 @@ class Fragment:
     """What the tokens that end in a byte range say about groups.
 
     Without a cut inside, ``head`` holds all tokens. With cuts, ``head`` holds the tokens
-    up to the first one, ``closed`` the groups between the first and the last as text,
-    ``links`` the id pairs at all cuts, and ``tail`` the tokens behind the last one.
+    up to the first one (none if the range begins at a cut), ``closed`` the groups from
+    there to the last as text, ``links`` the id pairs at all cuts, and ``tail`` the tokens
+    behind the last one.
     """
 
     head: tuple[np.ndarray, np.ndarray] = (EMPTY, EMPTY)
@@ -109,7 +191,7 @@ class Fragment:
             return Fragment(head, other.cut, other.closed, other.links, other.tail, *counts)
         if not other.cut:
             return Fragment(self.head, True, self.closed, self.links, joined(self.tail, other.head), *counts)
-        middle = written(*joined(self.tail, other.head))
+        middle = written(*joined(self.tail, other.head))  # empty between two cuts that meet
         closed = b";".join(x for x in (self.closed, middle, other.closed) if x)
         return Fragment(self.head, True, closed, np.concatenate([self.links, other.links]), other.tail, *counts)
 
@@ -123,7 +205,9 @@ def joined(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray
 
 
 def written(a: np.ndarray, b: np.ndarray) -> bytes:
-    """One group."""
+    """One group, if there are tokens."""
+    if not len(a) and not len(b):
+        return b""
     return f"{','.join(map(str, a.tolist()))}|{','.join(map(str, b.tolist()))}".encode()
 
 
@@ -134,8 +218,9 @@ class Writer:
         self.n_a, self.n_b = n_a, n_b
         self.marked = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
 
-    def text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
-        """``last_a`` and ``last_b``: positions of the tokens that end each group."""
+    def tokens(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """Tokens in the order of writing. ``last_a`` and ``last_b``: positions of the tokens
+        that end each group."""
         codes = np.empty(len(a) + len(b), dtype=np.int64)
         ends_a, ends_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         ends_a[last_a], ends_b[last_b] = 1, 1
@@ -143,7 +228,10 @@ class Writer:
         before = np.concatenate([[0], last_b + 1])  # tokens of the second kind up to each group
         codes[np.arange(len(a)) + before[group_a]] = a + self.n_a * ends_a
         codes[np.arange(len(b)) + (last_a + 1)[group_b]] = b + self.n_b * ends_b + 2 * self.n_a
-        return "".join(map(self.marked.__getitem__, codes.tolist()))[:-1].encode()
+        return [self.marked[code] for code in codes.tolist()]
+
+    def text(self, *tokens: np.ndarray) -> bytes:
+        return "".join(self.tokens(*tokens))[:-1].encode()
 
 
 def fragment(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, writer: Writer) -> Fragment:
@@ -159,7 +247,7 @@ def fragment(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarra
     return Fragment((a[:first_a], b[:first_b]), True, closed, links, (a[last_a:], b[last_b:]), len(a), len(b))
 
 
-def fragment_of(text: str, begin: int, low: int, high: int, tools: Tokenizers, writer: Writer) -> Fragment:
+def fragment_of(text: str, begin: int, low: int, high: int, tools: Tokenizers) -> Fragment:
     """Tokens of ``text``, which starts at byte ``begin``, that end in (low, high]."""
     ids = tools.encoded(text) if text else (EMPTY, EMPTY)
     if ids is None:
@@ -169,7 +257,7 @@ def fragment_of(text: str, begin: int, low: int, high: int, tools: Tokenizers, w
         ends = begin + np.cumsum(sizes[each])
         inside = slice(*np.searchsorted(ends, [low, high], side="right"))
         parts.append((each[inside], ends[inside]))
-    return fragment(parts[0][0], parts[1][0], parts[0][1], parts[1][1], writer)
+    return fragment(parts[0][0], parts[1][0], parts[0][1], parts[1][1], tools.writer)
 
 
 def chunks(text: str, tools: Tokenizers, size: int) -> Iterator[tuple[int, str, int, int, int]]:
@@ -262,9 +350,13 @@ class Model:
     first: bytes
     second: bytes
 
-    def tools(self) -> tuple[Tokenizers, Writer]:
-        tools = Tokenizers(self.first, self.second)
-        return tools, Writer(len(tools.bytes_a), len(tools.bytes_b))
+    def tools(self) -> Tokenizers:
+        """The libraries, loaded once in a worker process for all its tasks."""
+        held = vars(sys.modules.setdefault("_aligned_tokenizers", ModuleType("_aligned_tokenizers")))
+        key = f"{hash(self.first)} {hash(self.second)}"
+        if held.get("key") != key:
+            held["tools"], held["key"] = Tokenizers(self.first, self.second), key
+        return held["tools"]
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -311,9 +403,9 @@ def short_texts(rows: DataFrame, model: Model) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, writer = model.tools()
+        tools = model.tools()
         for batch in slices(batches, "body", 1 << 20):
-            wholes = (fragment_of(text, 0, 0, len(text) * 4, tools, writer) for text in batch.column("body").to_pylist())
+            wholes = tools.wholes(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("bundle"), *result_columns(wholes)], ["id", "bundle", *NAMES])
 
     return rows.mapInArrow(align, f"id {kind}, bundle int, {RESULT}")
@@ -323,7 +415,7 @@ def long_texts(rows: DataFrame, model: Model, size: int) -> DataFrame:
     """Texts of several chunks, each distinct one once and each chunk in a task of its own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Tokenizers(model.first, model.second)
+        tools = model.tools()
         for batch in slices(batches, "body", 1):
             for content, text in zip(batch.column("content").to_pylist(), batch.column("body").to_pylist()):
                 for number, context, *places in chunks(text, tools, size):
@@ -331,10 +423,10 @@ def long_texts(rows: DataFrame, model: Model, size: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, ["content", "part", "context", "begin", "low", "high"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, writer = model.tools()
+        tools = model.tools()
         for batch in slices(batches, "context", 1 << 20):
             places = zip(*(batch.column(x).to_pylist() for x in ("context", "begin", "low", "high")))
-            found = [fragment_of(*place, tools, writer) for place in places]
+            found = [fragment_of(*place, tools) for place in places]
             yield pa.RecordBatch.from_arrays([batch.column("content"), batch.column("part"), *fragment_columns(found)], ["content", "part", *FIELDS])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,18 +77,18 @@ def same(one, two):
 @pytest.mark.parametrize("size", [1, 7, 64, 1000])
 def test_fragments_compose(size):
     """Any byte ranges, composed in any bracketing, give the groups of the whole text."""
-    writer = m.Writer(len(TOOLS.bytes_a), len(TOOLS.bytes_b))
     draw = random.Random(size)
     for _ in range(5):
         text = " " + sample(draw, 60)
         raw = len(text.encode())
-        whole = m.fragment_of(text, 0, 0, raw, TOOLS, writer)
-        parts = [m.fragment_of(context, *place, TOOLS, writer) for _, context, *place in m.chunks(text, TOOLS, size)]
+        whole = m.fragment_of(text, 0, 0, raw, TOOLS)
+        parts = [m.fragment_of(context, *place, TOOLS) for _, context, *place in m.chunks(text, TOOLS, size)]
         assert same(functools.reduce(m.Fragment.then, parts, m.Fragment()), whole)
         while len(parts) > 1:
             at = draw.randrange(len(parts) - 1)
             parts[at : at + 2] = [parts[at].then(parts[at + 1])]
         assert same(parts[0], whole)
+        assert same(*TOOLS.wholes([text]), whole)
         shown = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in plain_groups(text[1:]))
         assert whole.groups().decode() == shown
 
