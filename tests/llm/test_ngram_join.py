@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from sedimenta.llm import ngram_join as m
-from sedimenta.llm.near import shingle_hashes
 
 SCHEMA = "doc_id bigint, text string, id int, content string, n int, key string, tree string, leaf int, component int, rep int, body string"
 CLASHES = (7, "c", 1, "k", "t", 1, 2, 3, "b")
@@ -79,16 +78,21 @@ def test_minima_never_underestimate(sizes):
     draw = np.random.default_rng(1)
     shared = draw.integers(0, 2**64, min(sizes) // 2, dtype=np.uint64)
     one, two = (np.unique(np.concatenate([shared, draw.integers(0, 2**64, n - len(shared), dtype=np.uint64)])) for n in sizes)
-    groups = min(len(m.point(x)) // 2 for x in (one, two))
+    groups = min(len(m.point(x)) for x in (one, two))
     bound = np.minimum(m.coarse(m.point(one), groups), m.coarse(m.point(two), groups)).sum()
     assert len(shared) <= bound < len(shared) * 1.6
     assert m.coarse(m.point(one), m.LEAST_GROUPS).sum() == len(one)
 
 
 def test_counts_too_large_bound_nothing():
-    same = np.full(1 << 16, 64, dtype=np.uint64)
+    same = np.full(1 << 8, 64, dtype=np.uint64)
     assert m.point(same) == b"" and m.coarse(b"", 64).min() > 1 << 30
 
 
-def test_hashes_tell_short_sequences_apart():
-    assert len(shingle_hashes("a b c d", 5)) == 1 and shingle_hashes("a b", 5)[0] != shingle_hashes("a b c", 5)[0]
+def test_hashes_of_a_batch_are_those_of_each_text():
+    texts = ["a b c d", "", "a b", "a b c d e f", " \n", "A B C D E f", "b c d e f g h"]
+    together, alone = m.gram_hashes(texts, 5), [m.gram_hashes([x], 5)[0] for x in texts]
+    assert [x.tolist() for x in together] == [x.tolist() for x in alone]
+    assert [len(x) for x in together] == [1, 0, 1, 2, 0, 2, 3]
+    assert together[3].tolist() == together[5].tolist() and together[3][1] == together[6][0]
+    assert len({int(h) for x in together for h in x}) == 6
