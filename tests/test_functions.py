@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions import ids, names, text
+from sedimenta.operators import scoring
 from sedimenta.operators.scoring import similarity, similarity_ratio, statistics
 
 
@@ -101,6 +103,51 @@ def test_similarity_equals_the_textbook_tables():
         assert (pytest.approx(ratio), dist) == table_similarity(a, b), (a, b)
 
 
+@pytest.mark.parametrize("most", [0, 2, 10**6])
+def test_diagonals_equal_the_textbook_tables(monkeypatch, most):
+    """Whichever way a pair goes, the values are the same."""
+    monkeypatch.setattr(scoring, "_affordable", lambda n, m: min(most, n + m))
+    draw = random.Random(most)
+    for _ in range(1500):
+        alphabet = draw.choice(["ab", "abcdé😀"])
+        a, b = ("".join(draw.choice(alphabet) for _ in range(draw.randrange(40))) for _ in range(2))
+        ratio, dist = similarity(a, b)
+        assert (pytest.approx(ratio), dist) == table_similarity(a, b), (a, b)
+
+
+def edited(draw, text, edits):
+    parts, at = [], 0
+    for place in sorted(draw.sample(range(len(text)), edits)):
+        parts += [text[at:place], draw.choice(["", "é", "new words"])]
+        at = place + draw.randrange(2)
+    return "".join(parts) + text[at:]
+
+
+def test_few_edits_in_a_megabyte_take_no_second():
+    draw = random.Random(9)
+    text = "".join(draw.choice("abcdefgh \n") for _ in range(1 << 20))
+    for a, b in ((text, edited(draw, text, 50)), ("ab" * (1 << 19), edited(draw, "ab" * (1 << 19), 50))):
+        before = time.process_time()
+        ratio, dist = similarity(a, b)
+        assert time.process_time() - before < 1 and 0 < dist <= 50 * 9 and ratio > 0.999
+
+
+def test_many_edits_in_long_texts():
+    draw = random.Random(10)
+    text = "".join(draw.choice("abcd") for _ in range(3000))
+    for edits in (3, 40, 400):
+        b = edited(draw, text, edits)
+        x, y, shared = scoring._trim(text, b)
+        lcs, dist = scoring._bit_parallel(x, y)
+        assert similarity(text, b) == (2.0 * (shared + lcs) / (len(text) + len(b)), dist)
+
+
+def test_runs():
+    for n in (0, 1, 15, 16, 17, 47, 48, 49, 500):
+        assert scoring._run("x" + "a" * n + "b", 1, "a" * n + "c", 0) == n
+        assert scoring._run("a" * n, 0, "a" * (n + 3), 0) == n
+
+
 def test_long_texts():
     draw = random.Random(6)
     a = "".join(draw.choice("abcd") for _ in range(400))
