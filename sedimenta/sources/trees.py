@@ -98,7 +98,7 @@ def _read_files(root: str):
                 try:
                     with filesystem.open_input_stream(f["uri"]) as stream:
                         raw = stream.read()
-                except OSError:
+                except (FileNotFoundError, PermissionError):
                     raw = None
                 yield f["repository_name"], f["branch"], f["path"], raw
 
@@ -112,7 +112,8 @@ def read_source_tree(releases: DataFrame, root: str, patterns: tuple[str, ...] =
 
     ``root`` is a URI. Listing and reading are two steps with a shuffle of the
     listed names between them, so one huge release is read by many tasks.
-    Unreadable files keep their row with null content.
+    Files that are gone or may not be read keep their row with null content, as do files
+    that are not text. Other errors of the storage fail the task, and Spark tries again.
     """
     folders = spread(releases.select("repository_name", "branch").distinct(), "repository_name", "branch")
     listed = folders.mapInArrow(_list_releases(root, patterns), _LISTED_DDL)
@@ -124,16 +125,44 @@ def _expand(root: str, archive_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(root)
 
-        def members(release: dict, path: str) -> Iterator[tuple]:
+        def entries(path: str) -> Iterator[tuple[int, tarfile.TarInfo, str, tarfile.TarFile]]:
             with filesystem.open_input_stream(path, compression=None) as stream:
                 # "r|*" streams the archive: one member in memory at a time.
                 with tarfile.open(fileobj=stream, mode="r|*") as archive:
-                    for member in archive:
-                        _, _, inner = member.name.removeprefix("./").partition("/")
-                        name = inner.rsplit("/", 1)[-1]
-                        if member.isfile() and _visible(inner) and any(fnmatchcase(name, p) for p in KEPT_MEMBERS):
-                            raw = archive.extractfile(member).read()
-                            yield release["repository_name"], release["branch"], inner, raw, None
+                    for number, member in enumerate(archive):
+                        yield number, member, member.name.removeprefix("./").partition("/")[2], archive
+
+        def kept(inner: str) -> bool:
+            name = inner.rsplit("/", 1)[-1]
+            return _visible(inner) and any(fnmatchcase(name, p) for p in KEPT_MEMBERS)
+
+        def members(release: dict, path: str) -> Iterator[tuple]:
+            key = release["repository_name"], release["branch"]
+            source: dict[str, int] = {}  # which member holds the content of a name
+            linked: dict[int, list[str]] = {}
+            broken = None
+            try:
+                for number, member, inner, archive in entries(path):
+                    if member.isfile():
+                        source[member.name] = number
+                        if kept(inner):
+                            yield *key, inner, archive.extractfile(member).read(), None
+                    elif member.islnk() and member.linkname in source:
+                        source[member.name] = source[member.linkname]
+                        if kept(inner):
+                            linked.setdefault(source[member.name], []).append(inner)
+            except _BROKEN as error:
+                broken = error
+            if linked:  # a second pass over the archive, for contents that links name
+                last = max(linked)
+                for number, member, _, archive in entries(path):
+                    if number in linked:
+                        raw = archive.extractfile(member).read()
+                        yield from ((*key, inner, raw, None) for inner in linked[number])
+                    if number == last:
+                        break
+            if broken:
+                raise broken
 
         def rows() -> Iterator[tuple]:
             for release in _records(batches):
@@ -162,7 +191,8 @@ def archive_rows(
     Columns repository_name, branch, path, content, status. A member has no status; the
     last row of a release has no path and says ``complete``, ``truncated`` (empty or
     broken: members up to the break are here) or ``absent``. The first path component
-    is stripped; hidden files and folders are skipped, as in source trees. Errors of the
+    is stripped; hidden files and folders are skipped, as in source trees. A hard link has
+    the content of the member it names. Errors of the
     storage are not statuses: they fail the task, and Spark tries again. Compressed
     and plain archives are told apart by content. Releases listed in ``extracted`` are
     skipped. Each archive is read once: stage the result to use both parts.

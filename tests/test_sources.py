@@ -61,6 +61,72 @@ def test_archives(spark, tmp_path):
     }
 
 
+def test_hard_links_hold_what_they_name(spark, tmp_path):
+    def add(out, name, raw=None, link=None):
+        info = tarfile.TarInfo(name)
+        if link:
+            info.type, info.linkname = tarfile.LNKTYPE, link
+            return out.addfile(info)
+        info.size = len(raw)
+        out.addfile(info, io.BytesIO(raw))
+
+    for branch, mode in (("v1", "w:gz"), ("v2", "w")):
+        (tmp_path / "b" / branch).mkdir(parents=True)
+        with tarfile.open(tmp_path / "b" / branch / "data.tar.gz", mode) as out:
+            add(out, "b-1/a.py", b"first")
+            add(out, "b-1/data.bin", b"script")
+            add(out, "b-1/same.py", link="b-1/a.py")
+            add(out, "b-1/again.py", link="b-1/same.py")
+            add(out, "b-1/script.py", link="b-1/data.bin")
+            add(out, "b-1/readme.md", link="b-1/a.py")
+            add(out, "b-1/nowhere.py", link="b-1/absent.py")
+            add(out, "b-1/a.py", b"second")
+            add(out, "b-1/late.py", link="b-1/a.py")
+            add(out, "b-1/tail.py", b"t" * 50_000)
+    whole = (tmp_path / "b" / "v2" / "data.tar.gz").read_bytes()
+    (tmp_path / "b" / "v2" / "data.tar.gz").write_bytes(whole[:-45_000])
+    rows = archive_rows(spark.createDataFrame([("b", "v1"), ("b", "v2")], RELEASES), tmp_path.as_uri()).cache()
+    found = rows.where("status is null")
+    links = {"same.py": "first", "again.py": "first", "script.py": "script", "late.py": "second"}
+    for branch in ("v1", "v2"):
+        got = sorted((r.path, r.content) for r in found.where(F.col("branch") == branch).collect() if r.path != "tail.py")
+        assert got == sorted([("a.py", "first"), ("a.py", "second"), *links.items()])
+    assert {r.branch: r.status for r in archive_status(rows).collect()} == {"v1": "complete", "v2": "truncated"}
+
+
+@pytest.mark.parametrize("error, fails", [(OSError("lost"), True), (TimeoutError("late"), True), (PermissionError("no"), False), (FileNotFoundError("gone"), False)])
+@pytest.mark.parametrize("place", ["open", "read"])
+def test_tree_errors_of_the_storage_fail_the_task(monkeypatch, error, fails, place):
+    """A time-out must not make a file look unreadable; the next try reads it."""
+    failing = [place]
+
+    class Stream(io.BytesIO):
+        def read(self, size=-1):
+            if failing == ["read"]:
+                raise error
+            return super().read(size)
+
+    class Storage:
+        def open_input_stream(self, uri):
+            if failing == ["open"]:
+                raise error
+            return Stream(b"x = 1")
+
+    monkeypatch.setattr(trees, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda root: (Storage(), root))))
+    listed = pa.RecordBatch.from_pylist([{"repository_name": "b", "branch": "v1", "path": "a.py", "uri": "a.py"}])
+
+    def contents():
+        return [raw for batch in trees._read_files("x://r")(iter([listed])) for raw in batch.column("raw").to_pylist()]
+
+    if fails:
+        with pytest.raises(type(error)):
+            contents()
+    else:
+        assert contents() == [None]
+    failing.clear()
+    assert contents() == [b"x = 1"]
+
+
 def test_archive_status(spark, tmp_path):
     members = {f"b-1/m{i}.py": bytes(range(256)) * 40 for i in range(30)}
     archive(tmp_path / "b" / "v1" / "data.tar.gz", members, "w:gz")
