@@ -397,6 +397,10 @@ def build() -> dict[str, str]:
     sql["scan_catalog"] = _with(_CATALOG) + (
         "SELECT repository, nullif(branch, 'None') AS branch, download_link, name, date, release_seq FROM cat"
     )
+    sql["scan_catalog_parts"] = _with(_CATALOG) + (
+        "SELECT repository, nullif(branch, 'None') AS branch, download_link, name, date, "
+        "row_number() OVER (ORDER BY release_seq) - 1 AS release_seq FROM cat"
+    )
     sql["catalog_with_missing"] = _with(_CATALOG) + (
         "SELECT c.repository, coalesce(branch, 'None') AS branch, coalesce(download_link, 'None') AS download_link, "
         "coalesce(name, 'None') AS name, coalesce(date, 'None') AS date "

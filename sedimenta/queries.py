@@ -64,6 +64,15 @@ def scan_catalog(spark, sf):
     return catalog_io.read_catalog(spark, folder, has_seq=True)
 
 
+@register
+def scan_catalog_parts(spark, sf):
+    """A catalogue in several files that do not say where their rows belong."""
+    folder = landed.fresh_folder(spark, "catalog")
+    ordered = h.orders_catalog(spark, sf).repartitionByRange(7, "release_seq").sortWithinPartitions("release_seq")
+    catalog_io.write_catalog(ordered.drop("release_seq"), folder)
+    return catalog_io.read_catalog(spark, folder)
+
+
 @register
 def catalog_with_missing(spark, sf):
     customers = h.table(spark, sf, "customer").select(

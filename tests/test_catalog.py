@@ -27,9 +27,24 @@ def test_single_file_keeps_its_order(spark, tmp_path):
     rows = io.read_catalog(spark, str(path)).orderBy("release_seq").collect()
     assert [r.branch for r in rows] == [f"refs/tags/v1.{i}" for i in range(50)] + [None]
     assert rows[0]["name"] == 'n, "q"'
-    (tmp_path / "two.csv").write_text(path.read_text())
-    with pytest.raises(ValueError):
-        io.read_catalog(spark, [str(path), str(tmp_path / "two.csv")])
+
+
+def test_files_follow_one_another(spark, tmp_path):
+    """Whatever the sizes of files and splits, the order is that of the concatenation."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        names = []
+        for k, n in enumerate([30, 0, 1, 200, 7]):
+            lines = [f"{G},refs/tags/v{k}.{i},{'l' * (i % 60)},n,2020-01-01" for i in range(n)]
+            names += [f"refs/tags/v{k}.{i}" for i in range(n)]
+            (tmp_path / f"part-{k}.csv").write_text("repository,branch,download_link,name,date\n" + "".join(x + "\n" for x in lines))
+        found = io.read_catalog(spark, str(tmp_path))
+        assert [(r.release_seq, r.branch) for r in found.orderBy("release_seq").collect()] == list(enumerate(names))
+        turned = io.read_catalog(spark, [str(tmp_path / f"part-{k}.csv") for k in (4, 0)]).orderBy("release_seq").collect()
+        assert [r.branch for r in turned] == names[-7:] + names[:30]
+        assert [r.release_seq for r in turned] == list(range(37))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_round_trip_and_missing(spark, tmp_path):
