@@ -6,41 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_CALL = ["call_ord", "name", "context", "expression", "start_offset", "end_offset", "lineno"]
 
-
-def align_calls(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
+def align_nested_calls(methods: DataFrame, on: list[str]) -> DataFrame:
     """Rows (on..., status, old, new): the k-th call of a target meets the k-th.
 
-    Each old call, by position, takes the first free new call of the same context
-    and name. Equality implies the same target, so this is first in, first out per
-    target: a rank on both sides and one grouping, all on one partitioning.
+    ``methods`` hold both call lists, as old.calls and new.calls. Each old call, by
+    position, takes the first free new call of the same context and name. Equality
+    implies the same target, so this is first in, first out per target: a rank on both
+    sides and one grouping, all on one partitioning.
     """
-    call = F.struct(*[F.col(c) for c in _CALL if c in old.columns]).alias("call")
-    return _align_tagged(
-        old.select(*on, F.lit(True).alias("is_old"), call).unionByName(
-            new.select(*on, F.lit(False).alias("is_old"), call)
-        ),
-        on,
-    )
-
-
-def align_nested_calls(methods: DataFrame, on: list[str]) -> DataFrame:
-    """``align_calls`` for rows that hold both call lists, as old.calls and new.calls."""
 
     def tagged(calls: str, is_old: bool) -> Column:
         return F.transform(calls, lambda c: F.struct(F.lit(is_old).alias("is_old"), c.alias("call")))
 
     # One list of both, so that the methods are computed once and not per side.
     both = F.concat(tagged("old.calls", True), tagged("new.calls", False))
-    return _align_tagged(methods.select(*on, F.inline(both)), on)
-
-
-def _align_tagged(both: DataFrame, on: list[str]) -> DataFrame:
     target = [*on, "context", "name"]
-    both = both.select(*on, F.col("call.context").alias("context"), F.col("call.name").alias("name"), "is_old", "call")
+    rows = methods.select(*on, F.inline(both)).select(*on, F.col("call.context").alias("context"), F.col("call.name").alias("name"), "is_old", "call")
     place = W.partitionBy(*target, "is_old").orderBy("call.start_offset", "call.end_offset", "call.expression")
-    ranked = both.repartition(*target).withColumn("k", F.row_number().over(place))
+    ranked = rows.repartition(*target).withColumn("k", F.row_number().over(place))
     paired = ranked.groupBy(*target, "k").agg(
         F.min(F.when(F.col("is_old"), F.col("call"))).alias("old"),
         F.min(F.when(~F.col("is_old"), F.col("call"))).alias("new"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import shared_method_ratio
 from sedimenta.operators import files as fo
-from sedimenta.operators.calls import align_calls
+from sedimenta.operators.calls import align_nested_calls
 from sedimenta.operators.methods import align_methods, attach_methods
 from sedimenta.operators.ranking import rank_within
 from sedimenta.operators.renames import assign, match_renamed
@@ -72,11 +72,11 @@ def test_calls(spark):
         starts = sorted(draw.sample(range(100), draw.randrange(8)))
         return [(draw.choice([None, "np"]), draw.choice("fg"), s) for s in starts]
     groups = [(side(), side()) for _ in range(500)]
-    schema = "g int, call_ord int, context string, name string, expression string, start_offset int, end_offset int, lineno int"
-    def table(k):
-        return spark.createDataFrame(
-            [(g, i, c[0], c[1], f"{c[1]}({c[2]})", c[2], c[2] + 3, 0) for g, pair in enumerate(groups) for i, c in enumerate(pair[k])], schema
-        )
+    call = "call_ord int, name string, context string, expression string, start_offset int, end_offset int, lineno int"
+    side_of = "struct<calls: array<struct<" + ", ".join(x.replace(" ", ": ") for x in call.split(", ")) + ">>>"
+    def calls(found):
+        return ([(i, c[1], c[0], f"{c[1]}({c[2]})", c[2], c[2] + 3, 0) for i, c in enumerate(found)],)
+    methods = spark.createDataFrame([(g, calls(old), calls(new)) for g, (old, new) in enumerate(groups)], f"g int, old {side_of}, new {side_of}")
     want = []
     for g, (old, new) in enumerate(groups):
         free = list(range(len(new)))
@@ -85,7 +85,7 @@ def test_calls(spark):
             want.append((g, "removed" if j is None else "mapped", i, -1 if j is None else j))
             free = [f for f in free if f != j]
         want += [(g, "added", -1, j) for j in free]
-    rows = align_calls(table(0), table(1), ["g"]).collect()
+    rows = align_nested_calls(methods, ["g"]).collect()
     got = [(r.g, r.status, r.old.call_ord if r.old else -1, r.new.call_ord if r.new else -1) for r in rows]
     assert sorted(got) == sorted(want)
 
