@@ -90,7 +90,8 @@ def surviving(left: np.ndarray, right: np.ndarray, least: np.ndarray) -> np.ndar
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``content`` (fingerprint of the set), ``signature``."""
+    """``id``, ``digest`` (of the text), ``n`` (set size), ``content`` (fingerprint of the
+    set), ``signature``."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +106,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 contents.append(xxh3_128_digest(hashes.tobytes()))
                 signs.append(minhash(hashes, scale, shift).tobytes() if len(hashes) else b"")
             arrays = [pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "n", "content", "signature"])
+            kept = [batch.column("id"), batch.column("digest")]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], ["id", "digest", "n", "content", "signature"])
 
-    return docs.mapInArrow(sign, f"id {kind}, n bigint, content binary, signature binary")
+    return docs.mapInArrow(sign, f"id {kind}, digest binary, n bigint, content binary, signature binary")
 
 
 def as_hashes(column: pa.Array) -> np.ndarray:
@@ -191,7 +193,7 @@ def compared(group: pd.DataFrame, least: np.ndarray, width: int, per_cent: int)
     bands = signs.view(np.uint64).reshape(len(group), BANDS, -1)
     sizes, reps, block = (group[x].to_numpy() for x in ("n", "rep", "block"))
     bodies = list(unpacked(group["packed"]))
-    labels = group["component"].to_numpy().copy()
+    labels = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
     sets: dict[int, np.ndarray] = {}
 
     def hashed(at: int) -> np.ndarray:
@@ -219,7 +221,7 @@ def compared(group: pd.DataFrame, least: np.ndarray, width: int, per_cent: int)
             if 100 * common >= per_cent * (len(one) + len(two) - common):
                 links.append((min(reps[at], reps[other]), max(reps[at], reps[other])))
                 labels[labels == labels[other]] = labels[at]
-    return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]})
+    return pd.DataFrame(links, columns=["a", "b"], dtype=object)
 
 
 def near_duplicates(
@@ -247,11 +249,11 @@ def near_duplicates(
     link nothing. Rows of one id and text count as one document; rows that repeat an id
     with other texts each get the component of their own text. No rows give no rows.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5("body")))
     signed = stage(signatures(rows, width), "near-signatures")
     named = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    first = named.groupBy("content").agg(F.min(F.struct("id", "n", "signature")).alias("first"))
-    classes = stage(first.select(F.col("first.id").alias("rep"), "content", F.col("first.n").alias("n"), F.col("first.signature").alias("signature")), "near-classes")
+    first = named.groupBy("content").agg(F.min(F.struct("id", "digest", "n", "signature")).alias("first"))
+    classes = stage(first.select(F.col("content").alias("rep"), "first.*"), "near-classes")  # a class goes by its content
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     bands = classes.select("rep", "signature", band)
@@ -263,9 +265,9 @@ def near_duplicates(
     star = members.join(centre.select("key", F.col("best.rep").alias("centre")), "key").where("rep != centre")
     pairs = star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     least = least_matches(per_cent / 100, miss)
-    met = members.select("rep").distinct()
-    texts = packed(rows).withColumnRenamed("id", "rep").join(met, "rep", "left_semi").dropDuplicates(["rep"])
-    texts = stage(texts, "near-texts")
+    heads = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("id", "digest", "rep")
+    texts = packed(rows.withColumnRenamed("digest", "content")).withColumnRenamed("content", "digest")
+    texts = stage(texts.join(heads, ["id", "digest"]).select("rep", "packed").dropDuplicates(["rep"]), "near-texts")
     links = stage(verified(pruned(pairs, classes, least, per_cent), texts, width, per_cent), "near-links")
 
     label = components(links)
@@ -278,7 +280,10 @@ def near_duplicates(
     more = stage(blocks.applyInPandas(lambda group: compared(group, least, width, per_cent), f"a {kind}, b {kind}"), "near-more")
 
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    named_class = classes.select("content", "rep").join(final, "rep", "left").select("content", F.coalesce("component", "rep").alias("component"))
+    whole = classes.select("rep", F.col("id").alias("least")).join(final, "rep", "left")
+    whole = stage(whole.select(F.col("rep").alias("content"), "least", F.coalesce("component", "rep").alias("group")), "near-whole")
+    smallest = whole.groupBy("group").agg(F.min("least").alias("component"))
+    named_class = whole.join(smallest, "group").select("content", "component")
     out = signed.select("id", "n", "content").join(named_class, "content", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)

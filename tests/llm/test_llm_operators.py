@@ -412,3 +412,12 @@ def test_main_text_in_wrappers_named_as_surroundings(name):
         assert pages.main_text(f"<body><{tag}>{each}</{tag}></body>") == f"Title {PROSE} {MORE}"
     thread = f'<main><article><h1>Title</h1><p>Short text, here.</p></article><section id="comments"><p>{PROSE}</p></section></main>'
     assert pages.main_text(thread) == "Title Short text, here."
+
+
+def test_near_copies_of_rows_that_repeat_an_id(spark):
+    """Classes go by content: every text is compared by its own words."""
+    one, two = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    rows = [(1, one), (1, two), (2, one.replace("a40", "c40")), (3, two.replace("b40", "c40")), (7, "x y z"), (7, "p q r"), (9, "p q r s")]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in found.collect())
+    assert got == [(1, 86, 1), (1, 86, 1), (2, 86, 1), (3, 86, 1), (7, 1, 7), (7, 1, 7), (9, 1, 9)]
