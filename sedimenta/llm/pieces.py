@@ -5,6 +5,8 @@ from __future__ import annotations
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,17 @@ from ..session import stage
 from .common import id_and_text, packed, slices
 from .tokens import SPACE, PrefixCounter, segment_form
 
-#: Text of one bundle, and text whose words one lattice task works on.
-BUNDLE_BYTES, PART_BYTES = 48 << 20, 8 << 20
+#: Text of one bundle, text whose words are folded together, and text whose words one
+#: lattice task works on.
+BUNDLE_BYTES, REGION_BYTES, PART_BYTES = 48 << 20, 2 << 30, 4 << 20
+#: Slots of words for each lattice task; words that one blob of packed words may hold.
+SLOTS, BLOB_WORDS = 4, 200_000
 #: How much worse than the worst piece a character without a piece scores.
 UNKNOWN_PENALTY = 10.0
 #: Characters of a word whose lattice is folded in a row (a bit for each border).
 LONGEST_WORD = 60
+#: Words whose place a task keeps at hand.
+WORDS_KEPT = 100_000
 
 
 class Vocabulary:
@@ -70,7 +77,7 @@ class Vocabulary:
         return out
 
     def decoded(self, ids: list[int], bytes_of: dict[int, bytes]) -> str:
-        text = b"".join(bytes_of.get(i, b"") for i in ids).decode(errors="replace").replace(SPACE, " ")
+        text = b"".join(map(bytes_of.get, ids, repeat(b""))).decode(errors="replace").replace(SPACE, " ")
         return text.removeprefix(" ")
 
     def bytes_of(self) -> dict[int, bytes]:
@@ -83,17 +90,33 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, piece_id int, score double")
 
 
+def reach_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """``head``, ``reach``: the longest piece that begins with these three characters."""
+    reach: dict[str, int] = {}
+    for piece in vocabulary.pieces.values():
+        if len(piece) > 2:
+            reach[piece[:3]] = max(len(piece), reach.get(piece[:3], 0))
+    return spark.createDataFrame(list(reach.items()), "head string, reach int")
+
+
 #: The two folds over a word's edges. Merges, for models whose scores are ranks of
 #: merges: ``cuts`` has a bit for each border between symbols; again and again the best
-#: edge that has exactly one cut inside loses it. Edges are sorted by rank and start.
+#: edge that has exactly one cut inside loses it. Edges are sorted by rank and start;
+#: those that lost an end, or have no cut left inside, are not looked at again.
 MERGED = """
     transform(array_sort(filter(edges, edge ->
         (cuts & edge.ends) = edge.ends AND bit_count(cuts & edge.inside) = 0), (x, y) -> x.start - y.start),
         edge -> edge.id)
 """
 CUTS = """
-    aggregate(sequence(1, length), shiftleft(1L, length + 1) - 1, (cuts, step) -> cuts & ~coalesce(
-        get(filter(edges, edge -> (cuts & edge.ends) = edge.ends AND bit_count(cuts & edge.inside) = 1), 0).inside, 0L))
+    aggregate(sequence(1, length),
+        named_struct('cuts', shiftleft(1L, length + 1) - 1, 'live', filter(edges, edge -> edge.inside <> 0)),
+        (state, step) -> IF(size(state.live) = 0, state, named_struct(
+            'cuts', state.cuts & ~coalesce(get(filter(state.live, edge ->
+                (state.cuts & edge.ends) = edge.ends AND bit_count(state.cuts & edge.inside) = 1), 0).inside, 0L),
+            'live', filter(state.live, edge ->
+                (state.cuts & edge.ends) = edge.ends AND (state.cuts & edge.inside) <> 0))),
+        state -> state.cuts)
 """
 #: Viterbi, for models whose scores are logarithms of probabilities: ``total[p]`` is the
 #: best score up to position p, ``back[p]`` its last edge; on a tie the longer edge
@@ -120,19 +143,23 @@ BACKWARD = """
 """
 
 
-def encoded_words(words: DataFrame, table: DataFrame, longest: int, unknown_score: float, by_merges: bool) -> DataFrame:
-    """Adds ``ids`` to rows of distinct ``word``s (of ``LONGEST_WORD`` at most) and ``bundles``.
+def encoded_words(words: DataFrame, table: DataFrame, reach: DataFrame, unknown_score: float, by_merges: bool) -> DataFrame:
+    """Adds ``ids`` to rows of ``word`` (of ``LONGEST_WORD`` at most) and ``bundles``,
+    each word once in each ``slot``.
 
-    Substrings of bounded length are exploded and joined to the piece table, which its
-    vocabulary bounds and which is therefore broadcast; every character has an edge of
-    its own besides. Edges are grouped by word and folded by a higher-order function.
-    A character c without a piece gets the id -1 - c.
+    Substrings are exploded, from each start as far as a piece with the same first three
+    characters reaches, and joined to the piece table. Both tables are bounded by the
+    vocabulary and therefore broadcast; every character has an edge of its own besides.
+    Edges are grouped by word and folded by a higher-order function; a word's bundles go
+    with its first character only. A character c without a piece gets the id -1 - c.
     """
-    starts = words.select("word", "bundles", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("word") - F.col("start")))
-    ends = starts.select("word", "bundles", "start", F.explode(lengths).alias("length"))
-    spans = ends.select("word", "bundles", "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
+    starts = words.select("slot", "word", "bundles", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
+    starts = starts.withColumn("head", F.expr("substring(word, start + 1, 3)")).join(F.broadcast(reach), "head", "left")
+    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.char_length("word") - F.col("start")))
+    ends = starts.select("slot", "word", "bundles", "start", F.explode(lengths).alias("length"))
+    spans = ends.withColumn("piece", F.expr("substring(word, start + 1, length)"))
     edges = spans.join(F.broadcast(table), "piece", "left").where("length = 1 OR piece_id IS NOT NULL")
+    bundles = F.when((F.col("start") == 0) & (F.col("length") == 1), F.col("bundles")).alias("bundles")
     number = F.coalesce("piece_id", -1 - F.ascii("piece")).alias("id")
     if by_merges:
         ends = F.expr("shiftleft(1L, start) | shiftleft(1L, start + length)").alias("ends")
@@ -140,7 +167,8 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, unknown_scor
         edge = F.struct((-F.coalesce("score", F.lit(0.0))).alias("rank"), "start", ends, inside, number)
     else:
         edge = F.struct((F.col("start") + F.col("length")).alias("end"), "start", number, F.coalesce("score", F.lit(unknown_score)).alias("score"))
-    lattices = edges.groupBy("word").agg(F.first("bundles").alias("bundles"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    edges = edges.select("slot", "word", bundles, edge.alias("edge"))
+    lattices = edges.groupBy("slot", "word").agg(F.first("bundles", ignorenulls=True).alias("bundles"), F.array_sort(F.collect_list("edge")).alias("edges"))
     if by_merges:
         folded = lattices.select("word", "bundles", "edges", F.char_length("word").alias("length"))
         folded = folded.select("word", "bundles", "edges", F.expr(CUTS).alias("cuts"))
@@ -152,13 +180,16 @@ def encoded_words(words: DataFrame, table: DataFrame, longest: int, unknown_scor
 class BundleWords:
     """The words of one bundle: hashes, numbers of pieces and pieces as flat arrays.
 
-    A table of Python strings would take ten times the memory. Every word of a text of
-    the bundle is here, and words whose hashes are equal are kept by name besides.
+    A table of Python strings would take ten times the memory; names stay compressed and
+    are only read again for words whose hashes are equal. Every word of a text of the
+    bundle is here.
     """
 
     def __init__(self):
-        self.parts: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]] = []
         self.named: dict[str, np.ndarray] = {}
+        self.places: dict[str, int] = {}
+        self.hashes, self.lengths = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
 
     @staticmethod
     def hashed(words: list[str]) -> np.ndarray:
@@ -166,8 +197,15 @@ class BundleWords:
 
         return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
-    def add(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        self.parts.append((words, self.hashed(words), lengths, ids))
+    @staticmethod
+    def opened(blob: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+        import zstandard
+
+        return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+    def add(self, blob: bytes) -> None:
+        words, lengths, ids = self.opened(blob)
+        self.parts.append((blob, self.hashed(words), lengths, ids))
 
     def close(self) -> None:
         """Sorts what was added, before the first text."""
@@ -177,12 +215,12 @@ class BundleWords:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.lengths = hashes[order], lengths[order]
         self.starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
-        twice = set(self.hashes[1:][self.hashes[1:] == self.hashes[:-1]].tolist())
-        if twice:
-            for words, own, sizes, ids in self.parts:
-                ends = np.cumsum(sizes)
-                for at in np.flatnonzero(np.isin(own, np.array(list(twice), dtype=np.uint64))):
-                    self.named[words[at]] = ids[ends[at] - sizes[at] : ends[at]]
+        twice = self.hashes[1:][self.hashes[1:] == self.hashes[:-1]]
+        for blob, own, sizes, ids in self.parts if len(twice) else ():
+            ends = np.cumsum(sizes)
+            clashing = np.flatnonzero(np.isin(own, twice))
+            words = self.opened(blob)[0] if len(clashing) else []
+            self.named |= {words[at]: ids[ends[at] - sizes[at] : ends[at]] for at in clashing}
         self.parts = []
 
     def encoded(self, words: list[str], vocabulary: Vocabulary) -> np.ndarray:
@@ -190,22 +228,31 @@ class BundleWords:
             return np.zeros(0, dtype=np.int32)
         if self.parts:
             self.close()
-        odd = [at for at, word in enumerate(words) if len(word) > LONGEST_WORD or word in self.named]
-        if odd:
-            out, begin = [], 0
-            for at in [*odd, len(words)]:
-                out.append(self.plain(words[begin:at]))
-                if at < len(words):
-                    word = words[at]
-                    out.append(self.named[word] if word in self.named else np.array(vocabulary.long(word), dtype=np.int32))
-                begin = at + 1
-            return np.concatenate(out)
-        return self.plain(words)
-
-    def plain(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, dtype=np.int32)
-        at = np.searchsorted(self.hashes, self.hashed(words))
+        places = list(map(self.places.get, words))
+        odd: dict[int, np.ndarray] = {}
+        if None in places:
+            missing = [at for at, place in enumerate(places) if place is None]
+            hashes = self.hashed([words[at] for at in missing])
+            if len(self.places) > WORDS_KEPT:
+                self.places.clear()
+            for at, place in zip(missing, np.searchsorted(self.hashes, hashes).tolist()):
+                word = words[at]
+                if len(word) > LONGEST_WORD:
+                    odd[at] = np.array(vocabulary.long(word), dtype=np.int32)
+                elif word in self.named:
+                    odd[at] = self.named[word]
+                else:
+                    places[at] = self.places[word] = place
+        out, begin = [], 0
+        for at in [*odd, len(words)]:
+            if begin < at:
+                out.append(self.plain(np.array(places[begin:at])))
+            if at in odd:
+                out.append(odd[at])
+            begin = at + 1
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def plain(self, at: np.ndarray) -> np.ndarray:
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         place = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])
@@ -231,9 +278,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """``id`` and ``ids``, the pieces of the whole text; one row per input row.
 
     Segments that no piece of the model reaches out of ("words") are encoded once for
-    the whole table, see ``encoded_words``. A word returns to each bundle of rows it
+    a region of bundles of rows, see ``encoded_words``. A word returns to each bundle it
     came from, packed with others; the bundle's texts, compressed, meet its words in
-    one task, which looks them up. So no word occurrence is shuffled.
+    one task, which looks them up. So no word occurrence is shuffled, and as a region
+    has a fixed number of bundles and of slots of words, what is packed grows in
+    proportion to the table.
 
     Ids are those of the library: for a model whose scores are ranks of merges (BPE) the
     edges are folded by merging, for one with logarithms of probabilities (unigram) by
@@ -249,6 +298,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     vocabulary = Vocabulary(model)
     rows, n_bytes = bundled(docs, id_col, text_col)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // PART_BYTES + 1)
+    regions = n_bytes // REGION_BYTES + 1
     kind = docs.schema[id_col].dataType.simpleString()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,27 +319,37 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([bundle] * len(some), pa.int32())], ["word", "bundle"])
 
     found = rows.select("bundle", "body").mapInArrow(words, "word string, bundle int")
-    distinct = found.repartition(parts, "word").groupBy("word").agg(F.collect_set("bundle").alias("bundles"))
-    longest = max(map(len, vocabulary.pieces.values()))
+    slots = SLOTS * (parts // regions + 1)
+    slot = F.pmod("bundle", F.lit(regions)) * slots + F.pmod(F.xxhash64("word"), F.lit(slots))
+    distinct = found.withColumn("slot", slot).repartition(parts, "slot").groupBy("slot", "word").agg(F.collect_set("bundle").alias("bundles"))
     worst = min(vocabulary.scores.values()) - UNKNOWN_PENALTY
-    known = encoded_words(distinct, piece_table(spark, vocabulary), longest, worst, vocabulary.by_merges)
+    known = encoded_words(distinct, piece_table(spark, vocabulary), reach_table(spark, vocabulary), worst, vocabulary.by_merges)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        lists: dict[int, list[tuple[str, list[int]]]] = defaultdict(list)
+        press = zstandard.ZstdCompressor(level=3)
+        lists: dict[int, list[tuple[str, np.ndarray]]] = defaultdict(list)
+        held = 0
+
+        def blobs() -> Iterator[pa.RecordBatch]:
+            for bundle, entries in lists.items():
+                entries.sort(key=itemgetter(0))
+                lengths = np.array([len(ids) for _, ids in entries], dtype=np.int32)
+                blob = press.compress(pickle.dumps(([word for word, _ in entries], lengths, np.concatenate([ids for _, ids in entries]))))
+                yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int32()), pa.array([blob], pa.binary())], ["bundle", "packed"])
+
         for batch in batches:
             for word, bundles, ids in zip(*(batch.column(x).to_pylist() for x in ("word", "bundles", "ids"))):
-                entry = word, vocabulary.expanded(ids)
+                entry = word, np.array(vocabulary.expanded(ids), dtype=np.int32)
                 for bundle in bundles:
                     lists[bundle].append(entry)
-        press = zstandard.ZstdCompressor(level=3)
-        for bundle, entries in lists.items():
-            entries.sort()
-            lengths = np.array([len(ids) for _, ids in entries], dtype=np.int32)
-            every = np.array([i for _, ids in entries for i in ids], dtype=np.int32)
-            blob = press.compress(pickle.dumps(([word for word, _ in entries], lengths, every)))
-            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int32()), pa.array([blob], pa.binary())], ["bundle", "packed"])
+                held += len(bundles)
+            if held > BLOB_WORDS:
+                yield from blobs()
+                lists.clear()
+                held = 0
+        yield from blobs()
 
     entries = known.mapInArrow(pack, "bundle int, packed binary").select("bundle", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), "packed")
     texts = packed(rows).select("bundle", F.lit(1).alias("kind"), "id", "packed")
@@ -305,12 +365,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             for bundle, is_text, row_id, blob in zip(*(batch.column(x).to_pylist() for x in ("bundle", "kind", "id", "packed"))):
                 if bundle != current:
                     known, current = BundleWords(), bundle
-                raw = open_.decompress(blob)
                 if is_text:
                     ids.append(row_id)
-                    lists.append(known.encoded(vocabulary.segments(raw.decode()), vocabulary))
+                    lists.append(known.encoded(vocabulary.segments(open_.decompress(blob).decode()), vocabulary))
                 else:
-                    known.add(*pickle.loads(raw))
+                    known.add(blob)
             if lists:
                 offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.ListArray.from_arrays(offsets, np.concatenate(lists))], ["id", "ids"])
@@ -327,7 +386,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = vocabulary.bytes_of()
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", 1 << 20):
             texts = [vocabulary.decoded(ids or [], bytes_of) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 

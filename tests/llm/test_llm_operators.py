@@ -358,12 +358,26 @@ def test_pieces(spark, docs, empty):
     assert pieces.encode(empty, MODEL).count() == 0
 
 
+def test_pieces_over_many_bundles_regions_and_blobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pieces, "BUNDLE_BYTES", 500)
+    monkeypatch.setattr(pieces, "REGION_BYTES", 3000)
+    monkeypatch.setattr(pieces, "BLOB_WORDS", 7)
+    rng = random.Random(9)
+    known = ["".join(rng.choice("abehinorst") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    rows = [(k, " ".join(rng.choices(known, k=rng.randint(0, 40)))) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    got = pieces.encode(spark.read.parquet(f"{tmp_path}/docs"), MODEL).collect()
+    assert {r.id: list(r.ids) for r in got} == {i: LIBRARY.encode(t) for i, t in rows} and len(got) == len(rows)
+
+
 def test_viterbi_fold(spark):
     vocabulary, rng = pieces.Vocabulary(MODEL), random.Random(6)
     found = sorted({"▁" + "".join(rng.choice("therain中🤖") for _ in range(rng.randint(1, 25))) for _ in range(200)})
-    table = spark.createDataFrame([(x, [1]) for x in found], "word string, bundles array<int>")
+    table = spark.createDataFrame([(len(x) % 3, x, [1]) for x in found], "slot bigint, word string, bundles array<int>")
     worst = min(vocabulary.scores.values()) - pieces.UNKNOWN_PENALTY
-    rows = pieces.encoded_words(table, pieces.piece_table(spark, vocabulary), 16, worst, False).collect()
+    known = pieces.encoded_words(table, pieces.piece_table(spark, vocabulary), pieces.reach_table(spark, vocabulary), worst, False)
+    rows = known.collect()
+    assert all(r.bundles == [1] for r in rows)
     assert {r.word: vocabulary.expanded(r.ids) for r in rows} == {x: pieces.viterbi(x, vocabulary) for x in found}
 
 
