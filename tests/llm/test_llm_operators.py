@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -428,6 +429,22 @@ def test_main_text_in_wrappers_named_as_surroundings(name):
     assert pages.main_text(thread) == "Title Short text, here."
 
 
+@pytest.mark.parametrize(
+    "part",
+    ['<h2 id="related-work">Words, here.</h2>', '<section id="discussion-form"><p>Words, here.</p></section>', '<p class="social-science">Words, here.</p>',
+     '<p class="notice-board-history">Words, here.</p>', "<p>Words, <math><mi>here</mi></math>.</p>"],
+)
+def test_main_text_keeps_parts_that_only_sound_like_surroundings(part):
+    page = f'<body><nav><a href="/">Home</a></nav><article><h1>Title</h1><p>{PROSE}</p>{part}<p>{MORE}</p></article><p class="ad">Buy, now.</p></body>'
+    assert pages.main_text(page) == f"Title {PROSE} Words, here. {MORE}"
+
+
+def test_main_text_is_linear_in_depth():
+    began = time.process_time()
+    assert pages.main_text('<div class="ad">x, y ' * 20_000) and pages.main_text("<b><p>x</i></em> " * 20_000)
+    assert time.process_time() - began < 5
+
+
 def test_near_copies_of_rows_that_repeat_an_id(spark):
     """Classes go by content: every text is compared by its own words."""
     one, two = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
