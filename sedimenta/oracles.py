@@ -537,6 +537,22 @@ FROM snap WHERE via OR (k % 11 != 0 AND (k % 3 > 0 OR k % 4 > 0))"""
     sql["release_pairs"] = _with(_HISTORY_RELEASES) + (
         "SELECT repository, repository_name, prev_branch, branch, release_idx, date || 'Z' AS date FROM pairs"
     )
+    sql["release_pairs_by_date"] = _with(_HISTORY_RELEASES) + """,
+moved AS (
+  SELECT repository_name, branch, release_seq,
+    CASE WHEN release_seq % 10000 % 4 > 0 THEN (2000 + release_seq % 10000 * 3 % 5) || '-01-31 12:00:00' END AS day
+  FROM rel)
+SELECT repository_name, prev_branch, branch, release_idx, day || 'Z' AS date FROM (
+  SELECT repository_name, branch AS prev_branch, lead(branch) OVER w AS branch, lead(day) OVER w AS day,
+    row_number() OVER w - 1 AS release_idx
+  FROM moved WINDOW w AS (PARTITION BY repository_name ORDER BY day NULLS FIRST, release_seq))
+WHERE branch IS NOT NULL"""
+    sql["initial_releases_single"] = _with(_HISTORY_RELEASES) + """,
+chosen AS (
+  SELECT *, release_seq % 10000 AS y, release_seq // 10000 AS s FROM rel
+  WHERE release_seq // 10000 % 3 > 0 OR release_seq % 10000 = 1992 + release_seq // 10000 % 4),
+firsts AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY repository_name ORDER BY release_seq) = 1)
+SELECT repository, repository_name, branch FROM firsts WHERE (y + s) % 5 > 0"""
     sql["present_releases"] = _with(*history) + """,
 big AS (SELECT repository_name, branch FROM m GROUP BY ALL HAVING count(*) > 70)
 SELECT p.repository_name, prev_branch, p.branch, 'both' AS rule FROM pairs p

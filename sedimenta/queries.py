@@ -421,6 +421,27 @@ def release_pairs(spark, sf):
     )
 
 
+@register
+def release_pairs_by_date(spark, sf):
+    """Dates that run against the catalogue's order, tie or are missing."""
+    releases, year = h.history_releases(spark, sf), F.col("release_seq") % 10000
+    moved = F.concat((2000 + year * 3 % 5).cast("string"), F.lit("-01-31 12:00:00"))
+    releases = catalog_ops.name_releases(releases.withColumn("date", F.when(year % 4 > 0, moved)))
+    pairs = catalog_ops.release_pairs(releases, order_by="date")
+    return pairs.select(*PAIR, "release_idx", names.date_text(F.col("date")).alias("date"))
+
+
+@register
+def initial_releases_single(spark, sf):
+    """Every third supplier has one release only; sources of one year are absent."""
+    releases = catalog_ops.name_releases(h.history_releases(spark, sf))
+    year, supplier = F.col("release_seq") % 10000, F.floor(F.col("release_seq") / 10000)
+    releases = releases.where((supplier % 3 > 0) | (year == 1992 + supplier % 4))
+    present = releases.where((year + supplier) % 5 > 0)
+    found = catalog_ops.initial_releases(releases, catalog_ops.release_pairs(releases), present, emit_single=True)
+    return found.select("repository", "repository_name", "branch")
+
+
 @register
 def present_releases(spark, sf):
     """Sources are present where a supplier shipped more than 70 items in the year."""
