@@ -1,33 +1,101 @@
-"""Alignment of calls between two versions of a method."""
+"""Alignment of calls between two versions of a method, and scores of both."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sedimenta.operators.scoring import similarity
+from sedimenta.schemas import METHOD_SCORES
+
+#: What a call goes to: context (or none) and name.
+Target = tuple[str | None, str]
+
 
-def align_nested_calls(methods: DataFrame, on: list[str]) -> DataFrame:
-    """Rows (on..., status, old, new): the k-th call of a target meets the k-th.
+def pair_up(old: list[Target], new: list[Target]) -> Iterator[tuple[int | None, int | None]]:
+    """Places of aligned calls, old ones in their order, then added ones in theirs.
 
-    ``methods`` hold both call lists, as old.calls and new.calls. Each old call, by
-    position, takes the first free new call of the same context and name. Equality
-    implies the same target, so this is first in, first out per target: a rank on both
-    sides and one grouping, all on one partitioning.
+    Each old call, by position, takes the first free new call of the same target: first
+    in, first out per target.
     """
+    free: dict[Target, deque[int]] = defaultdict(deque)
+    for at, target in enumerate(new):
+        free[target].append(at)
+    for at, target in enumerate(old):
+        yield at, free[target].popleft() if free[target] else None
+    yield from ((None, at) for at in sorted(at for queue in free.values() for at in queue))
+
+
+_SIDE = "array<struct<context: string, name: string, expression: string>>"
+
+
+def _call_lists(lists: pa.ListArray) -> Iterator[tuple[list[Target], list[str]]]:
+    ends, values = lists.offsets.to_pylist(), lists.values
+    contexts, names, expressions = (values.field(x).to_pylist() for x in ("context", "name", "expression"))
+    for start, end in zip(ends, ends[1:]):
+        yield list(zip(contexts[start:end], names[start:end])), expressions[start:end]
+
+
+@F.arrow_udf(METHOD_SCORES)
+def _compare(pairs: pa.Array) -> pa.Array:
+    both = pairs.values
+    sides = (both.field(x).to_pylist() for x in ("old_text", "new_text"))
+    calls = (_call_lists(both.field(x)) for x in ("old_calls", "new_calls"))
+    known: dict[tuple[str, str], tuple[float, int]] = {}
+
+    def score(old: str | None, new: str | None) -> tuple[float | None, int | None]:
+        if old is None or new is None:
+            return None, None
+        if (old, new) not in known:
+            known[old, new] = similarity(old, new)
+        return known[old, new]
 
-    def tagged(calls: str, is_old: bool) -> Column:
-        return F.transform(calls, lambda c: F.struct(F.lit(is_old).alias("is_old"), c.alias("call")))
-
-    # One list of both, so that the methods are computed once and not per side.
-    both = F.concat(tagged("old.calls", True), tagged("new.calls", False))
-    target = [*on, "context", "name"]
-    rows = methods.select(*on, F.inline(both)).select(*on, F.col("call.context").alias("context"), F.col("call.name").alias("name"), "is_old", "call")
-    place = W.partitionBy(*target, "is_old").orderBy("call.start_offset", "call.end_offset", "call.expression")
-    ranked = rows.repartition(*target).withColumn("k", F.row_number().over(place))
-    paired = ranked.groupBy(*target, "k").agg(
-        F.min(F.when(F.col("is_old"), F.col("call"))).alias("old"),
-        F.min(F.when(~F.col("is_old"), F.col("call"))).alias("new"),
+    scores, ends, found = [], [0], []
+    for old, new, (old_targets, old_calls), (new_targets, new_calls) in zip(*sides, *calls):
+        scores.append(score(old, new))
+        for a, b in pair_up(old_targets, new_targets):
+            status = "removed" if b is None else "added" if a is None else "mapped"
+            found.append((status, a, b, *score(None if a is None else old_calls[a], None if b is None else new_calls[b])))
+        ends.append(len(found))
+
+    def structs(rows: list[tuple], **kinds: pa.DataType) -> list[pa.Array]:
+        return [pa.array(column, kind) for column, kind in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())]
+
+    inner = dict(status=pa.string(), old_at=pa.int32(), new_at=pa.int32(), ratio=pa.float64(), dist=pa.int32())
+    nested = pa.ListArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.StructArray.from_arrays(structs(found, **inner), list(inner))
     )
-    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("mapped")
-    return paired.select(*on, status.alias("status"), "old", "new")
+    outer = [*structs(scores, ratio=pa.float64(), dist=pa.int32()), nested]
+    offsets = pairs.offsets
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(outer, ["ratio", "dist", "calls"]))
+
+
+def compare_methods(pairs: Column, all_mapped: bool = False) -> Column:
+    """Array beside ``pairs`` of (ratio, dist, calls): scores of the texts, aligned calls.
+
+    ``pairs`` are structs with status and the methods ``old`` and ``new``. Calls are
+    (status, old_at, new_at, ratio, dist), places being those in the methods' lists.
+    Methods of one side only and, unless ``all_mapped``, those whose text stayed the
+    same are sent over as nulls and have neither scores nor calls here.
+    """
+
+    def side(method: Column) -> Column:
+        return F.transform(method["calls"], lambda c: F.struct(*(c[x].alias(x) for x in ("context", "name", "expression"))))
+
+    def sent(pair: Column) -> Column:
+        wanted = pair["status"] == "mapped"
+        if not all_mapped:
+            wanted = wanted & (pair["old"]["content"] != pair["new"]["content"])
+        no_calls = F.array().cast(_SIDE)
+        return F.struct(
+            F.when(wanted, pair["old"]["content"]).alias("old_text"),
+            F.when(wanted, pair["new"]["content"]).alias("new_text"),
+            F.coalesce(F.when(wanted, side(pair["old"])), no_calls).alias("old_calls"),
+            F.coalesce(F.when(wanted, side(pair["new"])), no_calls).alias("new_calls"),
+        )
+
+    return _compare(F.transform(pairs, sent))

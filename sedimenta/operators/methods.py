@@ -1,21 +1,24 @@
-"""Alignment of methods between two versions of a file."""
+"""Alignment of methods between two versions of a file, inside the row that holds both."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NEVER = 2**31 - 1
+from sedimenta.schemas import METHOD_PLACES
 
+#: Class (or none), name, and parameters in one text.
+Identity = tuple[str | None, str, str]
+#: Status, kind of match, and the places on both sides.
+Place = tuple[str, str | None, int | None, int | None]
 
-def align_methods(
-    old: DataFrame, new: DataFrame, on: list[str], signature_change_exclusive: bool = True
-) -> DataFrame:
-    """Rows (on..., status, match, old_ord, new_ord).
 
-    ``old`` and ``new`` hold ``on``, method_ord, class, name and params; texts are
-    not needed and stay out of the shuffle.
+def pair_up(old: list[Identity], new: list[Identity], signature_change_exclusive: bool = True) -> Iterator[Place]:
+    """Places of aligned methods, old ones in their order, then added ones in theirs.
 
     * exact: same class, name and params; the first occurrence on each side.
     * signature: same class and name. The new method is the first one that no
@@ -24,81 +27,70 @@ def align_methods(
     * the rest is removed or added. With ``signature_change_exclusive=False`` both
       sides of a signature match are listed as removed and added as well.
 
-    Everything is a window over (on, class, name): one shuffle. To find the
-    signature partner, new methods are placed at the time they get claimed and a
-    running minimum from the latest claim backwards is read off at each old method.
+    Claims are never given back, so the first open method of a name only moves on: the
+    work is linear in the two lists.
+    """
+    first: dict[Identity, int] = {}
+    named: dict[tuple, list[int]] = defaultdict(list)
+    for at, method in enumerate(new):
+        first.setdefault(method, at)
+        named[method[:2]].append(at)
+    claimed, partners, passed = set(), set(), defaultdict(int)
+    for at, method in enumerate(old):
+        if method in claimed:
+            continue
+        if method in first:
+            claimed.add(method)
+            yield "mapped", "exact", at, first[method]
+            continue
+        alike, seen = named.get(method[:2], ()), passed[method[:2]]
+        while seen < len(alike) and new[alike[seen]] in claimed:
+            seen += 1
+        passed[method[:2]] = seen
+        if seen < len(alike):
+            partners.add(alike[seen])
+            yield "mapped", "signature", at, alike[seen]
+            if signature_change_exclusive:
+                continue
+        yield "removed", None, at, None
+    for at, method in enumerate(new):
+        if method not in claimed and not (signature_change_exclusive and at in partners):
+            yield "added", None, None, at
+
+
+def _identities(lists: pa.ListArray) -> Iterator[list[Identity]]:
+    ends, values = lists.offsets.to_pylist(), lists.values
+    fields = [values.field(name).to_pylist() for name in ("class", "name", "params")]
+    for start, end in zip(ends, ends[1:]):
+        yield list(zip(*(field[start:end] for field in fields)))
+
+
+@F.arrow_udf(METHOD_PLACES)
+def _places(olds: pa.Array, news: pa.Array, exclusive: pa.Array) -> pa.Array:
+    ends, found = [0], []
+    for old, new, only in zip(_identities(olds), _identities(news), exclusive.to_pylist()):
+        found.extend(pair_up(old, new, only))
+        ends.append(len(found))
+    columns = list(zip(*found)) or [()] * 4
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+    names = ["status", "match", "old_ord", "new_ord"]
+    fields = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names))
+
+
+def align_methods(olds: Column, news: Column, signature_change_exclusive: bool = True) -> Column:
+    """Array of (status, match, old_ord, new_ord) for two method lists of one row.
+
+    Only identities reach Python, texts and calls do not. No rows are made and none
+    are shuffled. Null lists count as empty.
     """
-    light = [*on, "class", "name", "params", "method_ord"]
-    both = old.select(*light, F.lit(True).alias("is_old")).unionByName(
-        new.select(*light, F.lit(False).alias("is_old"))
-    )
-    group = [*on, "class", "name"]
-    both = both.repartition(*group)
-
-    same = W.partitionBy(*group, "params")
-    both = both.withColumns(
-        {
-            "old_first": F.min(F.when(F.col("is_old"), F.col("method_ord"))).over(same),
-            "new_first": F.min(F.when(~F.col("is_old"), F.col("method_ord"))).over(same),
-        }
-    )
-    lone_old = F.col("is_old") & F.col("new_first").isNull()
-    lone_new = ~F.col("is_old") & F.col("old_first").isNull()
-    first_new = ~F.col("is_old") & (F.col("method_ord") == F.col("new_first"))
-
-    time = F.when(F.col("is_old"), F.col("method_ord")).otherwise(F.coalesce("old_first", F.lit(_NEVER)))
-    later = (
-        W.partitionBy(*group)
-        .orderBy(F.desc("claimed"), F.asc("is_old"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    whole = W.partitionBy(*group)
-    both = both.withColumn("claimed", time)
-    both = both.withColumn(
-        "signature_ord",
-        F.when(lone_old, F.min(F.when(first_new, F.col("method_ord"))).over(later)),
-    )
-    # Partners only grow with the old method's place, and of the never-claimed new
-    # methods only the first can be one, so the largest partner tells if it was.
-    both = both.withColumn("last_signature", F.max("signature_ord").over(whole))
-
-    exact = F.col("is_old") & (F.col("method_ord") == F.col("old_first")) & F.col("new_first").isNotNull()
-    signature = lone_old & F.col("signature_ord").isNotNull()
-    removed = lone_old if not signature_change_exclusive else lone_old & F.col("signature_ord").isNull()
-    added = lone_new
-    if signature_change_exclusive:
-        taken = F.col("method_ord").eqNullSafe(F.col("last_signature"))
-        added = lone_new & ~taken
-
-    def outcome(when, status, match, old_ord, new_ord):
-        return F.when(
-            when,
-            F.struct(
-                F.lit(status).alias("status"),
-                F.lit(match).cast("string").alias("match"),
-                old_ord.cast("int").alias("old_ord"),
-                new_ord.cast("int").alias("new_ord"),
-            ),
-        )
 
-    own, nothing = F.col("method_ord"), F.lit(None)
-    outcomes = F.array_compact(
-        F.array(
-            outcome(exact, "mapped", "exact", own, F.col("new_first")),
-            outcome(signature, "mapped", "signature", own, F.col("signature_ord")),
-            outcome(removed, "removed", None, own, nothing),
-            outcome(added, "added", None, nothing, own),
+    def identities(methods: Column) -> Column:
+        # No parameter holds a line break, so the joined text is as good as the list.
+        light = F.transform(
+            methods,
+            lambda m: F.struct(m["class"].alias("class"), m["name"].alias("name"), F.array_join(m["params"], "\n").alias("params")),
         )
-    )
-    return both.select(*on, F.inline(outcomes))
-
-
-def attach_methods(aligned: DataFrame, old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
-    """Put the columns of both sides next to an alignment, as structs old and new."""
-    def packed(side: DataFrame, name: str) -> DataFrame:
-        rest = [F.col(c) for c in side.columns if c not in (*on, "method_ord")]
-        return side.select(*on, F.col("method_ord").alias(f"{name}_ord"), F.struct(*rest).alias(name))
+        return F.coalesce(light, F.array().cast("array<struct<class: string, name: string, params: string>>"))
 
-    return aligned.join(packed(old, "old"), [*on, "old_ord"], "left").join(
-        packed(new, "new"), [*on, "new_ord"], "left"
-    )
+    return _places(identities(olds), identities(news), F.lit(signature_change_exclusive))

@@ -12,16 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.ids import call_id, file_id, method_id
-from sedimenta.operators.calls import align_nested_calls
+from sedimenta.operators.calls import compare_methods
 from sedimenta.operators.files import PAIR
 from sedimenta.operators.methods import align_methods
-from sedimenta.operators.scoring import statistics
 from sedimenta.operators.units import render_imports, with_units
 from sedimenta.schemas import CALL_CHANGE, CHANGES, METHOD_CHANGE, STATISTICS
-from sedimenta.session import stage
 
 CONTENTS = ["old_sha", "new_sha"]
-_LAST = 2**31 - 1
 
 
 def _text(value: str | None) -> Column:
@@ -99,104 +96,81 @@ def changed_contents(mapped: DataFrame) -> DataFrame:
     return mapped.where(differ).select(*CONTENTS).distinct()
 
 
-def method_diff(contents: DataFrame, units: DataFrame, signature_change_exclusive: bool = True) -> DataFrame:
-    """Aligned and scored methods of content pairs.
+def aligned_methods(sides: DataFrame, signature_change_exclusive: bool = True, all_calls: bool = False) -> DataFrame:
+    """Aligned and scored methods of two versions of a file, in the row that holds both.
 
-    Rows (old_sha, new_sha, position, status, match, old, new, statistics). Only
-    identities go through the alignment's shuffle; texts come in afterwards, once
-    per content pair, and are scored where they are.
+    ``sides`` have the method lists ``olds`` and ``news``; in their place comes
+    ``aligned``, an array of (status, match, old_ord, new_ord, old, new, statistics,
+    calls), old methods in their order before added ones in theirs. Calls are those of
+    ``compare_methods``. Nothing is exploded, grouped again or shuffled.
     """
-    def side(sha: str, *columns) -> DataFrame:
-        return contents.join(units.select(F.col("content_sha").alias(sha), *columns), sha)
-
-    def light(sha: str) -> DataFrame:
-        identities = F.transform(
-            "methods",
-            lambda m: F.struct(*[m[f].alias(f) for f in ("method_ord", "class", "name", "params")]),
+    rest = [c for c in sides.columns if c not in ("olds", "news")]
+    places = sides.withColumn("places", align_methods(F.col("olds"), F.col("news"), signature_change_exclusive))
+    fields = ("status", "match", "old_ord", "new_ord")
+    pairs = places.select(
+        *rest,
+        F.transform(
+            "places",
+            lambda p: F.struct(
+                *(p[x].alias(x) for x in fields),
+                F.get("olds", p["old_ord"]).alias("old"),
+                F.get("news", p["new_ord"]).alias("new"),
+            ),
+        ).alias("pairs"),
+    )
+    scored = pairs.withColumn("scores", compare_methods(F.col("pairs"), all_calls))
+
+    def finished(pair: Column, at: Column) -> Column:
+        score = F.get("scores", at)
+        same = pair["old"]["content"] == pair["new"]["content"]
+        stats = F.when(same, _unchanged()).otherwise(_score(score))
+        return F.struct(
+            *(pair[x].alias(x) for x in (*fields, "old", "new")),
+            stats.cast(STATISTICS).alias("statistics"),
+            score["calls"].alias("calls"),
         )
-        return side(sha, identities.alias("identities")).select(*CONTENTS, F.inline("identities"))
 
-    aligned = align_methods(light("old_sha"), light("new_sha"), CONTENTS, signature_change_exclusive)
-    # Old methods in their order, then added ones in theirs.
-    position = F.struct(
-        F.coalesce("old_ord", F.lit(_LAST)).alias("old"),
-        F.coalesce("new_ord", F.lit(_LAST)).alias("new"),
-    )
-    per_pair = aligned.groupBy(*CONTENTS).agg(
-        F.array_sort(
-            F.collect_list(F.struct(position.alias("position"), "status", "match", "old_ord", "new_ord"))
-        ).alias("aligned")
-    )
-    # Light, and read by both the method and the call side of the records.
-    per_pair = stage(per_pair, "aligned")
-    texts = per_pair.join(units.select(F.col("content_sha").alias("old_sha"), F.col("methods").alias("olds")), "old_sha")
-    texts = texts.join(units.select(F.col("content_sha").alias("new_sha"), F.col("methods").alias("news")), "new_sha")
-    rows = F.transform(
-        "aligned",
-        lambda a, i: F.struct(
-            i.alias("position"),
-            a["status"].alias("status"),
-            a["match"].alias("match"),
-            F.get("olds", a["old_ord"]).alias("old"),
-            F.get("news", a["new_ord"]).alias("new"),
-        ),
-    )
-    diff = texts.select(*CONTENTS, F.inline(rows))
-    return diff.withColumn("statistics", statistics(F.col("old.content"), F.col("new.content")))
+    return scored.select(*rest, F.transform("pairs", finished).alias("aligned"))
 
 
-def call_diff(methods: DataFrame, on: list[str]) -> DataFrame:
-    """Aligned and scored calls of mapped methods whose text changed.
+def _score(scored: Column) -> Column:
+    """Statistics struct of scores; null where nothing was scored."""
+    return F.when(scored["ratio"].isNotNull(), F.struct(scored["ratio"].alias("ratio"), scored["dist"].alias("dist")))
 
-    ``methods`` holds ``on`` and the structs ``old`` and ``new``.
-    """
-    changed = methods.where("old.content != new.content")
-    aligned = align_nested_calls(changed, on)
-    return aligned.withColumn("statistics", statistics(F.col("old.expression"), F.col("new.expression")))
+
+def _aligned_calls(method: Column) -> Column:
+    def record(found: Column) -> Column:
+        old = F.get(method["old"]["calls"], found["old_at"])
+        new = F.get(method["new"]["calls"], found["new_at"])
+        own = call_id(old["expression"], old["start_offset"], old["end_offset"])
+        mapping = F.when(found["status"] == "mapped", own).otherwise(found["status"])
+        return call_record(F.coalesce(new, old), mapping, found["status"], _score(found).cast(STATISTICS))
+
+    return F.transform(method["calls"], record)
 
 
 def content_changes(contents: DataFrame, units: DataFrame, signature_change_exclusive: bool = True) -> DataFrame:
-    """Method records, nested, of each pair of different contents."""
-    methods = method_diff(contents, units, signature_change_exclusive)
-    on = [*CONTENTS, "position"]
-    calls = call_diff(methods, on)
-    shown = F.coalesce("new", "old")
-    mapping = F.when(
-        F.col("status") == "mapped", call_id(F.col("old.expression"), F.col("old.start_offset"), F.col("old.end_offset"))
-    ).otherwise(F.col("status"))
-    nested_calls = calls.groupBy(*on).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.coalesce(F.col("old.call_ord"), F.lit(_LAST)).alias("old_at"),
-                    F.coalesce(F.col("new.call_ord"), F.lit(_LAST)).alias("new_at"),
-                    call_record(shown, mapping, F.col("status"), F.col("statistics")).alias("record"),
-                )
-            )
-        ).alias("found")
-    ).select(*on, F.transform("found", lambda c: c["record"]).alias("changed_calls"))
-
-    joined = methods.join(nested_calls, on, "left")
-    is_mapped = F.col("status") == "mapped"
-    same_text = is_mapped & (F.col("old.content") == F.col("new.content"))
-    no_calls = F.array().cast(nested_calls.schema["changed_calls"].dataType)
-    function_calls = (
-        F.when(same_text, _kept_calls(F.col("new.calls")))
-        .when(is_mapped, F.coalesce("changed_calls", no_calls))
-        .otherwise(_listed_calls(F.coalesce("new.calls", "old.calls")))
-    )
-    record = method_record(
-        shown,
-        F.when(is_mapped, _own_method_id(F.col("old"))).otherwise(F.col("status")),
-        F.col("status"),
-        F.col("statistics"),
-        function_calls,
-    )
-    return (
-        joined.groupBy(*CONTENTS)
-        .agg(F.array_sort(F.collect_list(F.struct("position", record.alias("record")))).alias("found"))
-        .select(*CONTENTS, F.transform("found", lambda m: m["record"]).alias("changed_methods"))
-    )
+    """Method records, nested, and the new imports of each pair of different contents.
+
+    Each side's units are joined once; everything else happens inside the row.
+    """
+    olds = units.select(F.col("content_sha").alias("old_sha"), F.col("methods").alias("olds"))
+    news = units.select(F.col("content_sha").alias("new_sha"), F.col("methods").alias("news"), "imports")
+    aligned = aligned_methods(contents.join(olds, "old_sha").join(news, "new_sha"), signature_change_exclusive)
+
+    def record(method: Column) -> Column:
+        is_mapped = method["status"] == "mapped"
+        same_text = is_mapped & (method["old"]["content"] == method["new"]["content"])
+        shown = F.coalesce(method["new"], method["old"])
+        function_calls = (
+            F.when(same_text, _kept_calls(method["new"]["calls"]))
+            .when(is_mapped, _aligned_calls(method))
+            .otherwise(_listed_calls(shown["calls"]))
+        )
+        mapping = F.when(is_mapped, _own_method_id(method["old"])).otherwise(method["status"])
+        return method_record(shown, mapping, method["status"], method["statistics"], function_calls)
+
+    return aligned.select(*CONTENTS, "imports", F.transform("aligned", record).alias("changed_methods"))
 
 
 def file_diff(compared: DataFrame, renamed: DataFrame, unmatched: DataFrame) -> DataFrame:
@@ -254,9 +228,6 @@ def nest_records(
     parts = diffs.where(altered).select(*base, *CONTENTS)
     contents = changed_contents(diffs.where("status = 'mapped'"))
     parts = parts.join(content_changes(contents, units, signature_change_exclusive), CONTENTS, "left")
-    parts = parts.join(
-        units.select(F.col("content_sha").alias("new_sha"), "imports"), "new_sha", "left"
-    )
 
     def finish(rows: DataFrame, methods: Column) -> DataFrame:
         own = file_id(F.col("path"))

@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from sedimenta.bindings import history as h
 from sedimenta.bindings import landed
 from sedimenta.functions import ids, names, text
-from sedimenta.operators import calls as call_ops
 from sedimenta.operators import catalog as catalog_ops
 from sedimenta.operators import files as file_ops
-from sedimenta.operators import methods as method_ops
 from sedimenta.operators import records, scoring, stats, units
 from sedimenta.operators.files import PAIR
 from sedimenta.operators.renames import match_renamed
-from sedimenta.operators.scoring import statistics
 from sedimenta.plans.evolution import change_records as build_change_records
 from sedimenta.plans.release_catalog import cleaned_catalog
 from sedimenta.session import stage
@@ -458,7 +455,9 @@ def present_releases(spark, sf):
 
 
 def _compared(spark, sf) -> DataFrame:
-    return file_ops.compare_paths(*file_ops.pair_sides(h.history_pairs(spark, sf), _file_names(spark, sf)))
+    """Files of both releases by path; what both sides read is computed once."""
+    pairs, files = stage(h.history_pairs(spark, sf), "pairs"), stage(_file_names(spark, sf), "names")
+    return file_ops.compare_paths(*file_ops.pair_sides(pairs, files))
 
 
 def _renamed(compared: DataFrame, **switches) -> DataFrame:
@@ -489,72 +488,77 @@ def files_added_removed(spark, sf):
     return file_ops.unmatched(compared, _renamed(compared)).select(*FILE_PAIR, "status")
 
 
-def _mapped_methods(spark, sf, renames: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Methods, as rows, of both sides of files with one path in both releases.
+def _mapped_sides(spark, sf, renames: bool = False) -> DataFrame:
+    """Method lists ``olds`` and ``news`` of files with one path in both releases.
 
-    With ``renames`` those of renamed files as well; both sides carry the new path.
+    With ``renames`` those of renamed files as well, under the new path.
     """
-    if renames:
-        return _mapped_methods_all_files(spark, sf)
-    pairs, methods = h.history_pairs(spark, sf), h.history_methods(spark, sf)
-    old, new = file_ops.pair_sides(pairs, methods)
-    keys = file_ops.compare_paths(*file_ops.pair_sides(pairs, methods.select(*FILE).distinct()))
-    keys = file_ops.match_exact(keys).select(*FILE_PAIR)
-    return old.join(keys, FILE_PAIR, "left_semi"), new.join(keys, FILE_PAIR, "left_semi")
-
-
-def _mapped_methods_all_files(spark, sf) -> tuple[DataFrame, DataFrame]:
-    compared = stage(_compared(spark, sf), "compared")
+    pairs = stage(h.history_pairs(spark, sf).select(*PAIR), "pairs")
+    method = F.struct("method_ord", "class", "name", "params", "content", "calls")
+    files = h.history_methods(spark, sf).groupBy(*FILE).agg(F.array_sort(F.collect_list(method)).alias("methods"))
+    files = stage(files, "methods")
+    old, new = file_ops.pair_sides(pairs, files)
+    if not renames:
+        mapped = file_ops.match_exact(file_ops.compare_paths(old, new))
+        return mapped.select(*FILE_PAIR, F.col("old.methods").alias("olds"), F.col("new.methods").alias("news"))
+    names_only = files.select(*FILE, F.transform("methods", lambda m: m["name"]).alias("names"))
+    compared = stage(file_ops.compare_paths(*file_ops.pair_sides(pairs, names_only)), "compared")
     exact = file_ops.match_exact(compared).select(*PAIR, F.col("path").alias("prev_path"), "path")
     keys = stage(exact.unionByName(_renamed(compared).select(*PAIR, "prev_path", "path")), "mapped")
-    old, new = file_ops.pair_sides(h.history_pairs(spark, sf), h.history_methods(spark, sf))
-    old = old.withColumnRenamed("path", "prev_path").join(keys, [*PAIR, "prev_path"]).select(*new.columns)
-    return old, new.join(keys, FILE_PAIR, "left_semi")
+    olds = old.select(*PAIR, F.col("path").alias("prev_path"), F.col("methods").alias("olds"))
+    news = new.withColumnRenamed("methods", "news")
+    return keys.join(olds, [*PAIR, "prev_path"]).join(news, FILE_PAIR).select(*FILE_PAIR, "olds", "news")
 
 
-def _aligned(spark, sf, exclusive: bool = True, renames: bool = False) -> DataFrame:
-    aligned = method_ops.align_methods(*_mapped_methods(spark, sf, renames), FILE_PAIR, exclusive)
+def _aligned(sides: DataFrame, exclusive: bool = True, all_calls: bool = False) -> DataFrame:
+    aligned = records.aligned_methods(sides, exclusive, all_calls).select(*FILE_PAIR, F.inline("aligned"))
     return _long(aligned, "old_ord", "new_ord")
 
 
 @register
 def method_match_exact(spark, sf, renames: bool = False):
-    return _aligned(spark, sf, renames=renames).where("match = 'exact'").select(*FILE_PAIR, "old_ord", "new_ord")
+    found = _aligned(_mapped_sides(spark, sf, renames))
+    return found.where("match = 'exact'").select(*FILE_PAIR, "old_ord", "new_ord")
 
 
 @register
 def method_match_signature(spark, sf, renames: bool = False):
-    return _aligned(spark, sf, renames=renames).where("match = 'signature'").select(*FILE_PAIR, "old_ord", "new_ord")
+    found = _aligned(_mapped_sides(spark, sf, renames))
+    return found.where("match = 'signature'").select(*FILE_PAIR, "old_ord", "new_ord")
 
 
 @register
 def methods_added_removed(spark, sf, renames: bool = False):
+    sides = _mapped_sides(spark, sf, renames)
+
     def lone(exclusive: bool) -> DataFrame:
-        rows = _aligned(spark, sf, exclusive, renames).where("status in ('added', 'removed')")
+        rows = _aligned(sides, exclusive).where("status in ('added', 'removed')")
         return rows.select(*FILE_PAIR, "status", "old_ord", "new_ord", F.lit(exclusive).alias("exclusive"))
 
     return lone(True).unionByName(lone(False))
 
 
-def _method_pairs(spark, sf, renames: bool = False) -> DataFrame:
-    old, new = _mapped_methods(spark, sf, renames)
-    aligned = method_ops.align_methods(old, new, FILE_PAIR).where("status = 'mapped'")
-    return method_ops.attach_methods(aligned, old, new, FILE_PAIR)
-
-
 @register
 def method_diff(spark, sf, renames: bool = False):
-    scored = _method_pairs(spark, sf, renames).withColumn("s", statistics(F.col("old.content"), F.col("new.content")))
-    return _long(scored, "old_ord", "new_ord").select(
-        *FILE_PAIR, "old_ord", "new_ord", "match", F.col("s.ratio").alias("ratio"),
-        F.col("s.dist").cast("long").alias("dist"),
+    scored = _aligned(_mapped_sides(spark, sf, renames)).where("status = 'mapped'")
+    return scored.select(
+        *FILE_PAIR, "old_ord", "new_ord", "match", F.col("statistics.ratio").alias("ratio"),
+        F.col("statistics.dist").cast("long").alias("dist"),
     )
 
 
+def _aligned_calls(spark, sf, renames: bool) -> DataFrame:
+    """Calls of all mapped methods, each beside its method's place."""
+    mapped = _aligned(_mapped_sides(spark, sf, renames), all_calls=True).where("status = 'mapped'")
+    rows = mapped.select(
+        *FILE_PAIR, "old_ord", "new_ord", F.col("old.calls").alias("olds"), F.col("new.calls").alias("news"), F.inline("calls")
+    )
+    return rows.withColumns({"old": F.get("olds", F.col("old_at")), "new": F.get("news", F.col("new_at"))})
+
+
 @register
 def call_alignment(spark, sf, renames: bool = False):
-    aligned = call_ops.align_nested_calls(_method_pairs(spark, sf, renames), [*FILE_PAIR, "old_ord", "new_ord"])
-    return _long(aligned, "old_ord", "new_ord").select(
+    return _aligned_calls(spark, sf, renames).select(
         *FILE_PAIR, "old_ord", "new_ord", "status",
         F.col("old.call_ord").cast("long").alias("old_call"), F.col("new.call_ord").cast("long").alias("new_call"),
     )
@@ -562,14 +566,9 @@ def call_alignment(spark, sf, renames: bool = False):
 
 @register
 def call_diff(spark, sf, renames: bool = False):
-    aligned = call_ops.align_nested_calls(_method_pairs(spark, sf, renames), [*FILE_PAIR, "old_ord", "new_ord"])
-    scored = aligned.where("status = 'mapped'").withColumn(
-        "s", statistics(F.col("old.expression"), F.col("new.expression"))
-    )
-    return _long(scored, "old_ord", "new_ord").select(
+    return _aligned_calls(spark, sf, renames).where("status = 'mapped'").select(
         *FILE_PAIR, "old_ord", "new_ord", F.col("old.expression").alias("old_expression"),
-        F.col("new.expression").alias("new_expression"),
-        F.col("s.ratio").alias("ratio"), F.col("s.dist").cast("long").alias("dist"),
+        F.col("new.expression").alias("new_expression"), "ratio", F.col("dist").cast("long").alias("dist"),
     )
 
 

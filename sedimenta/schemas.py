@@ -49,6 +49,9 @@ UNITS = _struct(
 )
 
 STATISTICS = _struct(ratio=_D, dist=_I)
+METHOD_PLACES = T.ArrayType(_struct(status=_S, match=_S, old_ord=_I, new_ord=_I))
+CALL_PLACES = T.ArrayType(_struct(status=_S, old_at=_I, new_at=_I, ratio=_D, dist=_I))
+METHOD_SCORES = T.ArrayType(_struct(ratio=_D, dist=_I, calls=CALL_PLACES))
 CALL_CHANGE = _struct(
     id=_S, name=_S, context=_S, expression=_S, start_offset=_I, end_offset=_I, lineno=_I,
     mapping=_S, status=_S, statistics=STATISTICS,

@@ -1,21 +1,19 @@
 """Alignment operators against small sequential statements of the same rules."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import shared_method_ratio
 from sedimenta.operators import files as fo
-from sedimenta.operators.calls import align_nested_calls
-from sedimenta.operators.methods import align_methods, attach_methods
+from sedimenta.operators.methods import pair_up
 from sedimenta.operators.ranking import rank_within
+from sedimenta.operators.records import aligned_methods
 from sedimenta.operators.renames import assign, match_renamed
 from sedimenta.operators.scoring import similarity
 
-METHODS = "g int, method_ord int, class string, name string, params array<string>"
-
-
 def expected_methods(old, new, exclusive):
     """old, new: identities in order. Rows (status, match, old place, new place)."""
     rows, claimed, done = [], set(), set()
@@ -41,53 +39,81 @@ def expected_methods(old, new, exclusive):
     return rows + lone_old + lone_new
 
 
+METHOD = (
+    "struct<class: string, name: string, params: array<string>, content: string, calls: array<struct<"
+    "call_ord: int, name: string, context: string, expression: string, start_offset: int, end_offset: int, lineno: int>>>"
+)
+
+
+def expected_calls(old, new):
+    """old, new: (context, name, start). Rows (status, old place, new place)."""
+    free, rows = list(range(len(new))), []
+    for i, call in enumerate(old):
+        j = next((j for j in free if new[j][:2] == call[:2]), None)
+        rows.append(("removed" if j is None else "mapped", i, j))
+        free = [f for f in free if f != j]
+    return rows + [("added", None, j) for j in free]
+
+
 @pytest.mark.parametrize("exclusive", [True, False])
-def test_methods(spark, exclusive):
+@pytest.mark.parametrize("all_calls", [True, False])
+def test_methods_and_calls(spark, exclusive, all_calls):
     draw = random.Random(11)
+
+    def calls():
+        return [(draw.choice([None, "np"]), draw.choice("fg"), s) for s in sorted(draw.sample(range(100), draw.randrange(6)))]
+
     def side():
         return [
-            (draw.choice([None, "A"]), draw.choice("fg"), tuple(draw.choice("xyz") for _ in range(draw.randrange(3))))
+            (draw.choice([None, "A"]), draw.choice("fg"), tuple(draw.choice("xyz") for _ in range(draw.randrange(3))), draw.choice(["", "é", "long text"]), calls())
             for _ in range(draw.randrange(7))
         ]
-    groups = [(side(), side()) for _ in range(600)]
-    def table(k):
-        return spark.createDataFrame(
-            [(g, i, m[0], m[1], list(m[2])) for g, pair in enumerate(groups) for i, m in enumerate(pair[k])], METHODS
-        )
-    found = align_methods(table(0), table(1), ["g"], exclusive)
-    got = sorted((r.g, r.status, str(r.match), r.old_ord if r.old_ord is not None else -1, r.new_ord if r.new_ord is not None else -1) for r in found.collect())
-    want = sorted(
-        (g, s, str(m), i if i is not None else -1, j if j is not None else -1)
-        for g, (old, new) in enumerate(groups) for s, m, i, j in expected_methods(old, new, exclusive)
-    )
-    assert got == want
-    attached = attach_methods(found, table(0), table(1), ["g"])
-    assert attached.count() == len(want)
-    assert attached.where("match = 'exact' and not (old.name = new.name and old.params = new.params)").count() == 0
 
-
-def test_calls(spark):
-    draw = random.Random(12)
-    def side():
-        starts = sorted(draw.sample(range(100), draw.randrange(8)))
-        return [(draw.choice([None, "np"]), draw.choice("fg"), s) for s in starts]
-    groups = [(side(), side()) for _ in range(500)]
-    call = "call_ord int, name string, context string, expression string, start_offset int, end_offset int, lineno int"
-    side_of = "struct<calls: array<struct<" + ", ".join(x.replace(" ", ": ") for x in call.split(", ")) + ">>>"
-    def calls(found):
-        return ([(i, c[1], c[0], f"{c[1]}({c[2]})", c[2], c[2] + 3, 0) for i, c in enumerate(found)],)
-    methods = spark.createDataFrame([(g, calls(old), calls(new)) for g, (old, new) in enumerate(groups)], f"g int, old {side_of}, new {side_of}")
-    want = []
-    for g, (old, new) in enumerate(groups):
-        free = list(range(len(new)))
-        for i, call in enumerate(old):
-            j = next((j for j in free if new[j][:2] == call[:2]), None)
-            want.append((g, "removed" if j is None else "mapped", i, -1 if j is None else j))
-            free = [f for f in free if f != j]
-        want += [(g, "added", -1, j) for j in free]
-    rows = align_nested_calls(methods, ["g"]).collect()
-    got = [(r.g, r.status, r.old.call_ord if r.old else -1, r.new.call_ord if r.new else -1) for r in rows]
-    assert sorted(got) == sorted(want)
+    def row(method):
+        listed = [(i, c[1], c[0], f"{c[1]}({c[2]})", c[2], c[2] + 3, 0) for i, c in enumerate(method[4])]
+        return (method[0], method[1], list(method[2]), method[3], listed)
+
+    groups = [(side(), side()) for _ in range(600)] + [(None, None)]
+    rows = [(g, *(None if x is None else [row(m) for m in x] for x in pair)) for g, pair in enumerate(groups)]
+    sides = spark.createDataFrame(rows, f"g int, olds array<{METHOD}>, news array<{METHOD}>")
+    found = {r.g: r.aligned for r in aligned_methods(sides, exclusive, all_calls).collect()}
+    assert len(found) == len(groups) and not found[600]
+    for g, (old, new) in enumerate(groups[:-1]):
+        want = expected_methods([m[:3] for m in old], [m[:3] for m in new], exclusive)
+        want.sort(key=lambda x: (99 if x[2] is None else x[2], 99 if x[3] is None else x[3]))
+        assert [(a.status, a.match, a.old_ord, a.new_ord) for a in found[g]] == want
+        for a, (status, _, i, j) in zip(found[g], want):
+            assert (a.old and a.old.content) == (None if i is None else old[i][3])
+            if status != "mapped":
+                assert a.statistics is None and not a.calls
+                continue
+            assert tuple(a.statistics) == similarity(old[i][3], new[j][3])
+            if not all_calls and old[i][3] == new[j][3]:
+                assert not a.calls
+                continue
+            listed = expected_calls(old[i][4], new[j][4])
+            assert [(c.status, c.old_at, c.new_at) for c in a.calls] == listed
+            for c, (kind, k, m) in zip(a.calls, listed):
+                score = similarity(row(old[i])[4][k][3], row(new[j])[4][m][3]) if kind == "mapped" else (None, None)
+                assert (c.ratio, c.dist) == score
+
+
+def test_alignment_stays_in_its_row(spark):
+    """Nothing is shuffled between the two method lists and the nested records."""
+    sides = spark.createDataFrame([], f"g int, olds array<{METHOD}>, news array<{METHOD}>")
+    plan = aligned_methods(sides)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_alignment_is_linear():
+    """Many methods of one name that are claimed later or never."""
+    new = [(None, "f", str(i)) for i in range(20_000)]
+    old = [m for i in range(20_000) for m in ((None, "f", str(i)), (None, "f", f"gone {i}"))]
+    start = time.perf_counter()
+    found = list(pair_up(old, new))
+    assert time.perf_counter() - start < 2
+    assert found[:4] == [("mapped", "exact", 0, 0), ("mapped", "signature", 1, 1), ("mapped", "exact", 2, 1), ("mapped", "signature", 3, 2)]
+    assert found[-1] == ("removed", None, 39_999, None) and len(found) == 40_000
 
 
 FILES = "repository_name string, prev_branch string, branch string, path string, names array<string>"
