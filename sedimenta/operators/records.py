@@ -203,11 +203,17 @@ def initial_files(first: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nest_records(
-    diffs: DataFrame, initial: DataFrame, pairs: DataFrame, units: DataFrame, signature_change_exclusive: bool = True
+    diffs: DataFrame,
+    initial: DataFrame,
+    pairs: DataFrame,
+    units: DataFrame,
+    signature_change_exclusive: bool = True,
+    changes: DataFrame | None = None,
 ) -> DataFrame:
     """Change records: the initial listing and every release diff.
 
     ``diffs`` are rows of ``file_diff``, ``initial`` those of ``initial_files``.
+    ``changes`` are rows of ``content_changes`` that were computed before.
     """
     dates = pairs.select(*PAIR, "repository", "date")
     diffs = diffs.join(dates, PAIR)
@@ -226,8 +232,10 @@ def nest_records(
         whole.select(*base, shown_sha.alias("content_sha"), same.alias("same")), units, "methods", "imports"
     )
     parts = diffs.where(altered).select(*base, *CONTENTS)
-    contents = changed_contents(diffs.where("status = 'mapped'"))
-    parts = parts.join(content_changes(contents, units, signature_change_exclusive), CONTENTS, "left")
+    if changes is None:
+        contents = changed_contents(diffs.where("status = 'mapped'"))
+        changes = content_changes(contents, units, signature_change_exclusive)
+    parts = parts.join(changes, CONTENTS, "left")
 
     def finish(rows: DataFrame, methods: Column) -> DataFrame:
         own = file_id(F.col("path"))

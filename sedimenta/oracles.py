@@ -601,6 +601,7 @@ UNION ALL SELECT {_FP}, NULL, 'added', false FROM ln ANTI JOIN renamed USING ({_
 
     # change records and statistics
     sql["change_records"] = _with(*whole, _CALLS, _records(True), recursive=True) + _RECORD_ROWS
+    sql["change_records_incremental"] = sql["change_records"]
     gone = "(year(l_shipdate) + l_suppkey) % 3 = 0"
     thinned = _METHODS.replace("ON l_partkey = p_partkey)", f"ON l_partkey = p_partkey WHERE NOT ({gone}))", 1)
     there = _HISTORY_RELEASES.replace("pairs AS (", "all_pairs AS (", 1) + """,

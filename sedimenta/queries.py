@@ -16,6 +16,7 @@ from sedimenta.operators import records, scoring, stats, units
 from sedimenta.operators.files import PAIR
 from sedimenta.operators.renames import match_renamed
 from sedimenta.plans.evolution import change_records as build_change_records
+from sedimenta.plans.incremental import History
 from sedimenta.plans.release_catalog import cleaned_catalog
 from sedimenta.session import stage
 from sedimenta.sources import catalog as catalog_io
@@ -679,6 +680,18 @@ def change_records_three_rows(spark, sf):
     return digested(build_changes(spark, sf, signature_change_exclusive=False))
 
 
+@register
+def change_records_incremental(spark, sf):
+    """Releases up to 1994 first, then the whole catalogue with all sources."""
+    releases = catalog_ops.name_releases(h.history_releases(spark, sf))
+    sources = landed_sources(spark, sf)
+    history = History(spark, landed.fresh_folder(spark, "history"))
+    early = [rows.where(F.substring("branch", -4, 4).cast("int") <= 1994) for rows in (releases, sources)]
+    history.extend(*early)
+    history.extend(releases, sources)
+    return digested(history.records(releases))
+
+
 @register
 def change_status(spark, sf):
     rows = stats.change_status(stats.later_releases(changes_at_rest(spark, sf)))
