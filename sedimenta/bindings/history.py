@@ -259,3 +259,45 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("requirements.txt").alias("path"),
         F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("content"),
     )
+
+
+def _part_number() -> Column:
+    return F.col("p_partkey").cast("string")
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per part: imports of every kind, and calls behind text that is not ASCII."""
+    number = _part_number()
+    text = F.concat(
+        F.repeat(F.lit("é"), (F.col("p_partkey") % 4).cast("int")), F.repeat(F.lit("日"), (F.col("p_partkey") % 3).cast("int")), F.lit("a")
+    )
+    lines = [
+        F.concat(F.lit("import os, part"), number, F.lit(".mod as alias")),
+        F.concat(F.lit("from . import here"), number),
+        F.lit("from ..up import a as b, c"),
+        F.concat(F.lit("from pkg"), number, F.lit(".sub import *")),
+        F.lit("import sys"),
+        F.concat(F.lit("def f"), number, F.lit("(x):")),
+        F.concat(F.lit("    return h('"), text, F.lit("', g(x))")),
+    ]
+    return table(spark, sf_dir, "part").select(
+        F.lit("parts").alias("repository_name"), F.lit("v1").alias("branch"),
+        F.concat(F.lit("p"), number, F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("content"),
+    )
+
+
+def part_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten requirements files with direct references, extras, markers and comments."""
+    number, kind = F.concat(F.lit("lib"), _part_number()), F.col("p_partkey") % 4
+    line = (
+        F.when(kind == 0, F.concat(number, F.lit(" @ https://host.example/"), number, F.lit(".zip")))
+        .when(kind == 1, F.concat(number, F.lit("[extra]@git+https://host.example/x")))
+        .when(kind == 2, F.concat(F.lit("  "), number, F.lit(' ~= 1.0 ; python_version > "3"')))
+        .otherwise(F.concat(number, F.lit("[a,b]>=1,!=1.5  # note")))
+    )
+    branch = F.concat(F.lit("v"), (F.col("p_partkey") % 10).cast("string")).alias("branch")
+    rows = table(spark, sf_dir, "part").groupBy(branch).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return rows.select(
+        F.lit("parts").alias("repository_name"), "branch", F.lit("requirements.txt").alias("path"),
+        F.array_join("lines", "\n").alias("content"),
+    )

@@ -433,6 +433,13 @@ named AS (
 SELECT repository_name, branch, name, specs, line_no FROM named
 QUALIFY row_number() OVER (PARTITION BY repository_name, branch, name ORDER BY line_no DESC) = 1"""
 
+    sql["requirement_maps"] = """
+WITH r AS (
+  SELECT 'v' || p_partkey % 10 AS branch, 'lib' || p_partkey AS name,
+    CASE p_partkey % 4 WHEN 2 THEN '~=1.0' WHEN 3 THEN '>=1,!=1.5' ELSE '' END AS specs
+  FROM part)
+SELECT branch, count(*) AS n, string_agg(name || specs, ';' ORDER BY name) AS requirements FROM r GROUP BY branch"""
+
     # scalar functions
     last, before_last = "string_split(repository, '/')[-1]", "string_split(repository, '/')[-2]"
     sql["repo_name"] = _with(_PAGES) + (
@@ -498,6 +505,27 @@ FROM oldf o JOIN newf n USING ({_FP})"""
         "0::BIGINT AS level, 'numpy' AS name, 'np' AS alias FROM files UNION ALL "
         "SELECT repository_name, branch, path, 1, 'from', 'lib', 0, 'part' || n, 'p' FROM files"
     )
+    sql["import_kinds"] = """
+WITH r AS (SELECT 'p' || p_partkey || '.py' AS path, p_partkey::VARCHAR AS p FROM part),
+i AS (
+  SELECT path, 0 AS o, 'import' AS kind, NULL AS module, 0 AS level, 'os' AS name, NULL AS alias, 'import os' AS statement FROM r
+  UNION ALL SELECT path, 1, 'import', NULL, 0, 'part' || p || '.mod', 'alias', 'import part' || p || '.mod as alias' FROM r
+  UNION ALL SELECT path, 2, 'import', NULL, 0, 'sys', NULL, 'import sys' FROM r
+  UNION ALL SELECT path, 3, 'from', NULL, 1, 'here' || p, NULL, 'from None import here' || p FROM r
+  UNION ALL SELECT path, 4, 'from', 'up', 2, 'a', 'b', 'from up import a as b' FROM r
+  UNION ALL SELECT path, 5, 'from', 'up', 2, 'c', NULL, 'from up import c' FROM r
+  UNION ALL SELECT path, 6, 'from', 'pkg' || p || '.sub', 0, '*', NULL, 'from pkg' || p || '.sub import *' FROM r)
+SELECT path, o::BIGINT AS import_ord, kind, module, level::BIGINT AS level, name, alias, statement FROM i"""
+    sql["call_offsets_behind_text"] = """
+WITH r AS (
+  SELECT 'p' || p_partkey || '.py' AS path, length('def f' || p_partkey || '(x):') + 12 AS place,
+    repeat('é', (p_partkey % 4)::BIGINT) || repeat('日', (p_partkey % 3)::BIGINT) || 'a' AS t
+  FROM part),
+b AS (SELECT *, unnest([false, true]) AS in_bytes FROM r),
+w AS (SELECT *, CASE WHEN in_bytes THEN strlen(t) ELSE length(t) END AS width FROM b)
+SELECT path, 0::BIGINT AS call_ord, 'h(''' || t || ''', g(x))' AS expression, place::BIGINT AS start_offset,
+  (place + 11 + length(t))::BIGINT AS end_offset, in_bytes FROM w
+UNION ALL SELECT path, 1, 'g(x)', place + 6 + width, place + 10 + width, in_bytes FROM w"""
     sql["render_imports"] = _with(_METHODS) + (
         "SELECT repository_name, branch, 'import numpy as np' AS statement, count(*) AS n FROM files GROUP BY ALL UNION ALL "
         "SELECT repository_name, branch, 'from lib import part' || n || ' as p', count(*) FROM files GROUP BY ALL"

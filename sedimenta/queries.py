@@ -147,6 +147,19 @@ def requirements(spark, sf):
     return parsed.select("repository_name", "branch", "name", specs.alias("specs"), F.col("line_no").cast("long"))
 
 
+@register
+def requirement_maps(spark, sf):
+    """Maps of requirements with direct references, extras, markers and comments."""
+    lines = requirements_io.requirement_lines(h.part_requirements(spark, sf))
+    maps = requirements_io.requirement_maps(requirements_io.parse_requirements(lines))
+
+    def shown(entry: Column) -> Column:
+        return F.concat(entry["key"], F.array_join(F.transform(entry["value"], lambda s: F.concat(s["op"], s["version"])), ","))
+
+    listed = F.array_join(F.transform(F.map_entries("requirements"), shown), ";")
+    return maps.select("branch", F.size("requirements").cast("long").alias("n"), listed.alias("requirements"))
+
+
 # -- scalar functions --------------------------------------------------------
 
 
@@ -362,6 +375,28 @@ def call_offsets(spark, sf):
     return rows.select(*FILE, "method_ord", "call_ord", "start_offset", "end_offset", "lineno")
 
 
+@register
+def import_kinds(spark, sf):
+    """Relative imports, several names in a statement, and stars."""
+    sources = stage(h.part_sources(spark, sf), "sources")
+    rows = units.file_versions(sources).join(units.extract_imports(units.extract_units(sources)), "content_sha")
+    rows = _long(rows, "import_ord", "level")
+    return rows.select("path", "import_ord", "kind", "module", "level", "name", "alias", "statement")
+
+
+@register
+def call_offsets_behind_text(spark, sf):
+    """Offsets in characters and in bytes, behind text that is not ASCII."""
+    sources = stage(h.part_sources(spark, sf), "sources")
+
+    def offsets(in_bytes: bool) -> DataFrame:
+        calls = units.extract_calls(units.extract_functions(units.extract_units(sources, in_bytes)))
+        rows = _long(units.file_versions(sources).join(calls, "content_sha"), "call_ord", "start_offset", "end_offset")
+        return rows.select("path", "call_ord", "expression", "start_offset", "end_offset", F.lit(in_bytes).alias("in_bytes"))
+
+    return offsets(False).unionByName(offsets(True))
+
+
 # -- catalogue ---------------------------------------------------------------
 
 
