@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import LOWER, UPPER, id_and_text, packed, slices, unpacked
+from .common import LOWER, UPPER, id_and_text, packed, slices, unpacked, unused
 from .components import components
 
 #: 32 bands of 4 hashes: a pair at similarity 0.8 shares no band once in 20 million.
@@ -295,5 +295,6 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80,
 
     Rows without id stay. Rows that repeat a kept id stay with it.
     """
-    kept = near_duplicates(docs, width, per_cent, id_col=id_col, text_col=text_col).where("kept").select(F.col("id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    key = unused(docs, "kept_id")
+    kept = near_duplicates(docs, width, per_cent, id_col=id_col, text_col=text_col).where("kept").select(F.col("id").alias(key)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[key]), "left_semi")

@@ -380,8 +380,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """Adds ``text`` to rows with ``ids``: pieces and bytes joined, marks turned into
     spaces, the mark before the text taken away. Ids outside the vocabulary and control
-    ids give nothing; null ids give the empty text."""
+    ids give nothing; null ids give the empty text. A column ``text`` is replaced."""
     vocabulary = Vocabulary(model)
+    encoded = encoded.select(*(encoded[x] for x in encoded.columns if x.lower() != "text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
