@@ -1,8 +1,11 @@
 import ast
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators import units as u
+from sedimenta.queries import QUERIES
 from sedimenta.schemas import SOURCE_FILES
 
 SOURCE = '''
@@ -103,3 +106,14 @@ def test_each_content_is_parsed_once_and_every_file_kept(spark):
     calls = u.extract_calls(methods)
     assert calls.count() == 8
     assert calls.where(F.col("context") == "np").select("name", "expression").collect()[0].name == "mean"
+
+
+@pytest.mark.parametrize(
+    "query",
+    ["call_offsets", "extract_calls", "extract_functions", "extract_methods", "method_params", "extract_imports",
+     "render_imports", "parse_status", "import_kinds", "call_offsets_behind_text", "change_records_empty_release"],
+)
+def test_parsed_units_do_not_pass_through_the_driver(spark, query):
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for join in re.findall(r"(?m)^.*\bBroadcastHashJoin\b.*$", plan):
+        assert not re.search(r"content_sha|unit_sha|old_sha|new_sha", join), join
