@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import shared_method_ratio
 from sedimenta.operators import files as fo
+from sedimenta.operators import renames
 from sedimenta.operators.methods import pair_up
 from sedimenta.operators.ranking import rank_within
 from sedimenta.operators.records import aligned_methods
@@ -205,3 +206,28 @@ def test_assign_with_no_pairs(spark):
     edges = spark.createDataFrame([], "repository_name string, prev_branch string, branch string, old_class string, new_class string")
     files = spark.createDataFrame([("r", "a", "b", "x.py", "c")], "repository_name string, prev_branch string, branch string, path string, old_class string")
     assert assign(edges, files, files.withColumnRenamed("old_class", "new_class")).collect() == []
+
+
+def test_few_files_meet_without_a_row_per_mark(spark, monkeypatch):
+    """As by marks alone, from about as many rows as there are files and topics."""
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcd_", k=14)) + ".py" for _ in range(6)]
+
+    def side(top):
+        files = [("r", "1", "2", f"{top}{i}/{rng.choice(names)[rng.randrange(2):]}", rng.choices("xyz", k=2)) for i in range(20)]
+        return spark.createDataFrame(files, "repository_name string, prev_branch string, branch string, path string, names array<string>")
+
+    old, new, rows = side("a"), side("b"), {}
+    staged = renames.stage
+
+    def counted(df, label):
+        done = staged(df, label)
+        rows[label] = max(rows.get(label, 0), done.count())
+        return done
+
+    monkeypatch.setattr(renames, "stage", counted)
+    direct = {tuple(r) for r in match_renamed(old, new).collect()}
+    assert rows["topics"] <= 4 * 20 and rows["dense"] == 0
+    monkeypatch.setattr(renames, "_DIRECT", 0)
+    assert {tuple(r) for r in match_renamed(old, new).collect()} == direct and direct
+    assert rows["dense"] > 0
