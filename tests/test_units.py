@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta import queries
 from sedimenta.operators import units as u
 from sedimenta.queries import QUERIES
 from sedimenta.schemas import SOURCE_FILES
@@ -117,3 +118,8 @@ def test_parsed_units_do_not_pass_through_the_driver(spark, query):
     plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     for join in re.findall(r"(?m)^.*\bBroadcastHashJoin\b.*$", plan):
         assert not re.search(r"content_sha|unit_sha|old_sha|new_sha", join), join
+
+
+def test_mapped_files_do_not_pass_through_the_driver(spark):
+    sides = queries._mapped_sides(spark, "/root/testdata/sf0.001", renames=True)
+    assert "Broadcast" not in sides._jdf.queryExecution().executedPlan().toString()
