@@ -6,14 +6,17 @@ import io
 import tarfile
 import uuid
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.bindings.history import table
-from sedimenta.session import shared_folder, stage
+from sedimenta.session import shared_folder, spread, stage
 
 # Files that go into one archive.
 _PER_RELEASE = 10
@@ -61,26 +64,41 @@ def land_tree(files: DataFrame, root: str) -> DataFrame:
 
 
 def land_archives(files: DataFrame, root: str) -> DataFrame:
-    """Write one compressed archive per release, plus a member that is not kept."""
-    def write(group: pd.DataFrame) -> pd.DataFrame:
+    """Write one compressed archive per release, plus a member that is not kept.
+
+    Rows come sorted by release and path, and a task passes its releases one by one: a
+    group of its own for each of very many small releases would cost ten times its archive.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(root)
-        repository, branch = group["repository_name"].iloc[0], group["branch"].iloc[0]
-        folder = f"{base}/{repository}/{branch}"
-        filesystem.create_dir(folder, recursive=True)
-        packed = io.BytesIO()
-        with tarfile.open(fileobj=packed, mode="w:gz") as archive:
-            def add(path: str, raw: bytes) -> None:
-                member = tarfile.TarInfo(f"{repository}-{branch}/{path}")
-                member.size = len(raw)
-                archive.addfile(member, io.BytesIO(raw))
-
-            for f in group.sort_values("path").itertuples():
-                add(f.path, _raw(f.text, f.invalid))
-            add("README.md", b"not kept")
-            add("docs/requirements-dev.txt", b"kept==1\n")
-        with filesystem.open_output_stream(f"{folder}/data.tar.gz", compression=None) as out:
-            out.write(packed.getvalue())
-        return group[["repository_name", "branch"]].head(1)
-
-    written = files.groupBy("repository_name", "branch").applyInPandas(write, "repository_name string, branch string")
+
+        def members() -> Iterator[tuple[str, str, str, str, bool]]:
+            for batch in batches:
+                yield from zip(*(batch.column(x).to_pylist() for x in ("repository_name", "branch", "path", "text", "invalid")))
+
+        def releases() -> Iterator[tuple[str, str]]:
+            for (repository, branch), group in groupby(members(), itemgetter(0, 1)):
+                folder = f"{base}/{repository}/{branch}"
+                filesystem.create_dir(folder, recursive=True)
+                packed = io.BytesIO()
+                with tarfile.open(fileobj=packed, mode="w:gz") as archive:
+                    def add(path: str, raw: bytes) -> None:
+                        member = tarfile.TarInfo(f"{repository}-{branch}/{path}")
+                        member.size = len(raw)
+                        archive.addfile(member, io.BytesIO(raw))
+
+                    for _, _, path, text, invalid in group:
+                        add(path, _raw(text, invalid))
+                    add("README.md", b"not kept")
+                    add("docs/requirements-dev.txt", b"kept==1\n")
+                with filesystem.open_output_stream(f"{folder}/data.tar.gz", compression=None) as out:
+                    out.write(packed.getvalue())
+                yield repository, branch
+
+        landed = releases()
+        while some := list(islice(landed, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*some)], ["repository_name", "branch"])
+
+    key = "repository_name", "branch"
+    written = spread(files, *key).sortWithinPartitions(*key, "path").mapInArrow(write, "repository_name string, branch string")
     return stage(written, "releases")
