@@ -452,3 +452,43 @@ def test_near_copies_of_rows_that_repeat_an_id(spark):
     found = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     got = sorted((r.id, r.n_shingles, r.component_id) for r in found.collect())
     assert got == [(1, 86, 1), (1, 86, 1), (2, 86, 1), (3, 86, 1), (7, 1, 7), (7, 1, 7), (9, 1, 9)]
+
+
+def test_families_of_unlike_lines_make_no_pairs(spark):
+    """op7: members of one bucket that cannot be similar made rows with the square of its size."""
+    rng = random.Random(17)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    common, other = prose(30), prose(6)
+    family = [f"{common} {prose(8)} {other if k % 2 else ''}{prose(8)}" for k in range(80)]
+    rows = [(1, k.to_bytes(4, "big"), line) for k, line in enumerate(family)]
+    texts = spark.createDataFrame(rows, "key bigint, content binary, line string")
+    sketches = lines.sketched(texts.select("content", "line"), "content")
+    label = spark.createDataFrame([], "node binary, component binary")
+    assert lines.open_pairs(texts.select("key", "content"), label, sketches).count() == 0
+
+
+def test_sketches_lose_no_similar_pair(spark):
+    """Lines of all lengths, repeated shingles included: what sketches rule out is not similar."""
+    rng = random.Random(18)
+    pairs = []
+    for k in range(600):
+        one = "".join(rng.choice("ab" if k % 3 else "abcdefgh 日") for _ in range(rng.choice([1, 7, 9, 40, 300, 2500])))
+        two = list(one * rng.choice([1, 1, 2]))
+        for _ in range(rng.randint(0, 1 + len(two) // 60)):
+            two[rng.randrange(len(two))] = rng.choice("abxyz")
+        pairs.append((k, one, "".join(two)))
+    table = spark.createDataFrame(pairs, "number bigint, one string, two string")
+    sides = [lines.sketched(table.select("number", F.col(c).alias("line")), "number").toDF("number", f"places_{x}", f"sketch_{x}") for c, x in (("one", "a"), ("two", "b"))]
+    open_ = {r.number for r in sides[0].join(sides[1], "number").where(lines.may_be_similar()).collect()}
+
+    def sets(line):
+        return {line[at : at + lines.SHINGLE] for at in range(max(1, len(line) - lines.SHINGLE + 1))}
+
+    similar = {k for k, one, two in pairs if 100 * len(sets(one) & sets(two)) >= 80 * len(sets(one) | sets(two))}
+    assert similar <= open_ and 100 < len(similar) and len(open_) < 600
+    texts = spark.createDataFrame([(f"{k}{x}".encode(), t) for k, one, two in pairs for x, t in (("a", one), ("b", two))], "content binary, line string")
+    named = spark.createDataFrame([(f"{k}a".encode(), f"{k}b".encode()) for k, _, _ in pairs], "a binary, b binary")
+    assert {int(r.a[:-1]) for r in lines.linked(named, texts).collect()} == similar
