@@ -274,9 +274,13 @@ def bundled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return rows.select("id", "body", bundle.alias("bundle")), size["bytes"]
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id`` and ``ids``, the pieces of the whole text; one row per input row.
 
+    ``decoded`` adds ``text``, what the pieces give back, in the task that has them at
+    hand: as ``decode`` of the result does, without a second process for each task and
+    without the pieces passing through Spark and back.
+
     Segments that no piece of the model reaches out of ("words") are encoded once for
     a region of bundles of rows, see ``encoded_words``. A word returns to each bundle it
     came from, packed with others; the bundle's texts, compressed, meet its words in
@@ -360,6 +364,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
         open_ = zstandard.ZstdDecompressor()
         known, current = BundleWords(), None
+        bytes_of = vocabulary.bytes_of() if decoded else {}
         for batch in slices(batches, "packed", 1 << 20):
             ids, lists = [], []
             for bundle, is_text, row_id, blob in zip(*(batch.column(x).to_pylist() for x in ("bundle", "kind", "id", "packed"))):
@@ -372,9 +377,12 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     known.add(blob)
             if lists:
                 offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.ListArray.from_arrays(offsets, np.concatenate(lists))], ["id", "ids"])
+                columns = [pa.array(ids, batch.schema.field("id").type), pa.ListArray.from_arrays(offsets, np.concatenate(lists))]
+                if decoded:
+                    columns.append(pa.array([vocabulary.decoded(x.tolist(), bytes_of) for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "text"][: len(columns)])
 
-    return together.mapInArrow(look_up, f"id {kind}, ids array<int>")
+    return together.mapInArrow(look_up, f"id {kind}, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

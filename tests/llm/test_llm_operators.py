@@ -492,3 +492,14 @@ def test_sketches_lose_no_similar_pair(spark):
     texts = spark.createDataFrame([(f"{k}{x}".encode(), t) for k, one, two in pairs for x, t in (("a", one), ("b", two))], "content binary, line string")
     named = spark.createDataFrame([(f"{k}a".encode(), f"{k}b".encode()) for k, _, _ in pairs], "a binary, b binary")
     assert {int(r.a[:-1]) for r in lines.linked(named, texts).collect()} == similar
+
+
+def test_encoding_and_decoding_in_one_pass(spark, docs, empty):
+    """op9: the pass that decodes gives what decode gives, by one process for each task."""
+    coded = pieces.encode(docs, MODEL, decoded=True)
+    want = pieces.decode(pieces.encode(docs, MODEL), MODEL)
+    assert coded.columns == want.columns
+    assert Counter(map(repr, coded.collect())) == Counter(map(repr, want.collect()))
+    assert pieces.encode(empty, MODEL, decoded=True).count() == 0
+    whole = [len(re.findall("MapInArrow", df._jdf.queryExecution().optimizedPlan().toString())) for df in (coded, want)]
+    assert whole[1] - whole[0] == 1
