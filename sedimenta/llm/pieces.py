@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -333,21 +333,27 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        lists: dict[int, list[tuple[str, np.ndarray]]] = defaultdict(list)
+        lists: dict[int, tuple[list[str], array, array]] = defaultdict(lambda: ([], array("i"), array("i")))
         held = 0
 
         def blobs() -> Iterator[pa.RecordBatch]:
-            for bundle, entries in lists.items():
-                entries.sort(key=itemgetter(0))
-                lengths = np.array([len(ids) for _, ids in entries], dtype=np.int32)
-                blob = press.compress(pickle.dumps(([word for word, _ in entries], lengths, np.concatenate([ids for _, ids in entries]))))
+            for bundle, (words, sizes, flat) in lists.items():
+                lengths, ids = np.array(sizes, dtype=np.int32), np.array(flat, dtype=np.int32)
+                order = np.array(sorted(range(len(words)), key=words.__getitem__))
+                ends, sizes = np.cumsum(lengths), lengths[order]
+                starts = np.cumsum(sizes) - sizes
+                ids = ids[np.repeat(ends[order] - sizes - starts, sizes) + np.arange(len(ids))]
+                blob = press.compress(pickle.dumps(([words[at] for at in order], sizes, ids)))
                 yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int32()), pa.array([blob], pa.binary())], ["bundle", "packed"])
 
         for batch in batches:
             for word, bundles, ids in zip(*(batch.column(x).to_pylist() for x in ("word", "bundles", "ids"))):
-                entry = word, np.array(vocabulary.expanded(ids), dtype=np.int32)
-                for bundle in bundles:
-                    lists[bundle].append(entry)
+                ids = vocabulary.expanded(ids)
+                for bundle in bundles:  # flat arrays: an object for each word would take five times the memory
+                    words, sizes, flat = lists[bundle]
+                    words.append(word)
+                    sizes.append(len(ids))
+                    flat.extend(ids)
                 held += len(bundles)
             if held > BLOB_WORDS:
                 yield from blobs()
