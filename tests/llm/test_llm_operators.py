@@ -503,3 +503,36 @@ def test_encoding_and_decoding_in_one_pass(spark, docs, empty):
     assert pieces.encode(empty, MODEL, decoded=True).count() == 0
     whole = [len(re.findall("MapInArrow", df._jdf.queryExecution().optimizedPlan().toString())) for df in (coded, want)]
     assert whole[1] - whole[0] == 1
+
+
+def test_large_buckets_of_lines_meet_in_few_rows(spark):
+    """op7, pipeline: a pair made a row for each band that it shares, runs of one word left
+    pairs open that have little in common, and members met without a bound."""
+    rng = random.Random(21)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    passage = prose(40)
+    runs = [f"{passage} {prose(12)} " + f"{prose(1)} " * 120 for _ in range(12)]
+    base = prose(60)
+    near = [base[:at] + "#" + base[at + 1 :] for at in range(20, 260, 6)]
+    rows = [(k, line) for k, line in enumerate(runs + near)]
+    texts = spark.createDataFrame(rows, "content bigint, line string").localCheckpoint()
+    found = lines.sketched(texts, "content").join(lines.signed(texts, "content"), "content")
+    known = lines.counted(found.join(texts.select("content", F.encode("line", "UTF-16BE").alias("units")), "content")).localCheckpoint()
+    sets = [{x[at : at + lines.SHINGLE] for at in range(len(x) - lines.SHINGLE + 1)} for _, x in rows]
+    assert all(r.places == len(sets[r.content]) for r in known.collect() if r.content < len(runs))
+
+    bands = known.select("content", F.explode("bands").alias("key"))
+    members = lines.neighbours(bands).localCheckpoint()
+    shared = bands.groupBy("key").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert members.count() == shared
+    assert members.select(F.explode("met")).count() <= (lines.NEXT + 1) * shared
+    nobody = spark.createDataFrame([], "node bigint, component bigint")
+    pairs = [tuple(r) for r in lines.open_pairs(members, nobody, known.drop("units")).collect()]
+    assert len(pairs) == len(set(pairs)) and all(a >= len(runs) for a, _ in pairs)
+    plain = [tuple(r) for r in lines.open_pairs(members, nobody, known.drop("units", "bands")).collect()]
+    assert set(plain) == set(pairs)
+    similar = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in lines.linked(spark.createDataFrame(pairs, "a bigint, b bigint"), known).collect()} == similar
