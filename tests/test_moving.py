@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import queries
 from sedimenta.bindings import history as h
-from sedimenta.operators import calls, methods
+from sedimenta.operators import calls, methods, renames
 from sedimenta.session import released_shuffles, stage
 from sedimenta.sources import changes as changes_io
 
@@ -100,3 +100,21 @@ def test_records_that_are_not_gathered(spark, tmp_path):
     folder = str(tmp_path / "changes")
     changes_io.write_changes(rows, folder, "parquet", gathered=False)
     assert changes_io.read_changes(spark, folder, "parquet").count() == rows.count()
+
+
+def test_only_changed_methods_are_scored(spark):
+    method = lambda text: f"struct('{text}' as content, array(struct(string(null) as context, 'f' as name, '{text}' as expression)) as calls)"
+    pair = lambda status, old, new: f"struct('{status}' as status, {method(old)} as old, {method(new)} as new)"
+    rows = spark.range(1).selectExpr(f"array({pair('mapped', 'a', 'a')}, {pair('mapped', 'ab', 'b')}, {pair('removed', 'a', 'b')}) as pairs")
+    found = rows.select(calls.compare_methods(F.col("pairs")).alias("s"), calls.compare_methods(F.col("pairs"), all_mapped=True).alias("all")).first()
+    assert [(s.dist, len(s.calls)) for s in found["s"]] == [(1, 1)]
+    assert [s.dist for s in found["all"]] == [0, 1]
+
+
+def test_release_pairs_are_assigned_one_after_the_other():
+    columns = [("r", "1", "2"), ("r", "2", "3"), ("s", "1", "2")]
+    events = [(*pair, *event) for pair in columns for event in (("edge", "c", "d"), ("new", "n1", "d"), ("new", "n2", "d"), ("old", "o1", "c"), ("old", "o2", "x"), ("old", "o3", "c"))]
+    names = ["repository_name", "prev_branch", "branch", "kind", "left", "right"]
+    table = pa.table([pa.array(x) for x in zip(*events)], names)
+    found = pa.Table.from_batches(renames._assign_groups(iter(table.to_batches(max_chunksize=4)))).to_pylist()
+    assert [tuple(f.values()) for f in found] == [(*pair, old, new) for pair in columns for old, new in (("o1", "n1"), ("o3", "n2"))]

@@ -1,4 +1,5 @@
 import ast
+import random
 import re
 
 import pytest
@@ -145,3 +146,32 @@ def test_equal_functions_are_rendered_once(monkeypatch):
     assert [[m["content"] for m in u.parse_units(t, lambda text: [], known)["methods"]] for t in texts] == want
     assert want == [[plain(n) for _, n in u._functions(ast.parse(t))] for t in texts]
     assert len(calls) == len(known) + 4 == 8
+
+
+def test_texts_are_put_together_from_blocks():
+    lines = [
+        "class A:\n", "    def f(self): return h(1)\n", "    def g(self):\n        return 2\n", "x = 1\n", "if y:\n", "    z = 1\n", "else:\n",
+        "@d\n", "    @d\n", "def f(a): return g(a)\n", '"""\n', "class B: x = {1:\n", "    2}\n", "import os\n", "from a import b as c\n", "  # c\n",
+        "\tdef t(): pass\n", '    "doc"\n', "\\\n", "try:\n", "except E: pass\n", "async def u(): pass\n", "(\n", "    class C:\n",
+        "        def n(self): pass\n", "    else: pass\n", "    import k\n", "\r\n",
+    ]
+    rng, known = random.Random(3), {}
+    blocks, fine = u.Blocks(known), 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(lines, k=rng.randint(1, 8)))
+        want = u.parse_units(text)
+        assert u.parse_units(text, blocks=blocks, known=known) == want, text
+        fine += want["parse_ok"]
+    assert fine > 500
+
+
+def test_a_new_version_of_a_file_parses_what_changed(monkeypatch):
+    method = "    def m{}(self):\n        return g({})\n\n"
+    text = "import os\n\n\nclass A(B):\n" + "".join(method.format(i, i) for i in range(50)) + "\ndef free(x):\n    return x\n"
+    blocks, known = u.Blocks({}), {}
+    first = u.parse_units(text, known=known, blocks=blocks)
+    parsed, real = [], ast.parse
+    monkeypatch.setattr(u.ast, "parse", lambda source: parsed.append(source) or real(source))
+    calls_of = lambda rendered: []
+    u.parse_units(text.replace("g(7)", "g(8)"), calls_of, known, blocks)
+    assert len(parsed) == 1 and "g(8)" in parsed[0] and len(parsed[0]) < 100 and len(first["methods"]) == 51
