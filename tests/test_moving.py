@@ -118,3 +118,11 @@ def test_release_pairs_are_assigned_one_after_the_other():
     table = pa.table([pa.array(x) for x in zip(*events)], names)
     found = pa.Table.from_batches(renames._assign_groups(iter(table.to_batches(max_chunksize=4)))).to_pylist()
     assert [tuple(f.values()) for f in found] == [(*pair, old, new) for pair in columns for old, new in (("o1", "n1"), ("o3", "n2"))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables absent")
+def test_file_diff_moves_no_names_with_whole_files(spark, monkeypatch):
+    seen, real = [], queries.file_ops.pair_sides
+    monkeypatch.setattr(queries.file_ops, "pair_sides", lambda pairs, files: seen.append(dict(files.dtypes)) or real(pairs, files))
+    queries.QUERIES["file_diff"](spark, DATA)
+    assert [(sorted(s), s["content_sha"]) for s in seen] == [(["branch", "content_sha", "path", "repository_name"], "binary")]
