@@ -536,3 +536,18 @@ def test_large_buckets_of_lines_meet_in_few_rows(spark):
     assert set(plain) == set(pairs)
     similar = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert {tuple(r) for r in lines.linked(spark.createDataFrame(pairs, "a bigint, b bigint"), known).collect()} == similar
+
+
+def test_lines_without_a_candidate_are_dealt_once(spark, monkeypatch):
+    plans, real = {}, lines.stage
+
+    def staged(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(lines, "stage", staged)
+    one = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, one + "\nalone and never met by another line"), (2, one + "x")], "doc_id bigint, text string")
+    assert {(r.id, r.line_no): r.kept for r in lines.duplicate_lines(docs).collect()} == {(1, 0): True, (1, 1): True, (2, 0): False}
+    scans = [row for row in plans["lines-known"].splitlines() if "lines-texts" in row]
+    assert scans and not any("line:string" in row for row in scans)
